@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import dedup, mixing
+from . import dedup, mixing, neardup
 from .common import documents
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_classes(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -28,7 +31,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_exact_dedup)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_mix_sources, op5_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
