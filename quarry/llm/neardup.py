@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize
 from .graph import components
 from .shingles import fingerprint, in_slices, mix, shingle_sets
@@ -272,6 +273,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its own component. Rows that repeat a doc_id are documents of their own with a common id. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = materialize(text.mapInArrow(_nodes, "doc_id long, n_shingles long, node long, token long"), "nodes")
     known = both.filter("token is null").drop("token")
