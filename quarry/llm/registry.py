@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, mixing, neardup, ranking, rules
+from . import dedup, mixing, neardup, packing, ranking, rules
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 OP5_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -43,7 +47,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op7_pairwise_quality)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op7_pairwise_quality, op8_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
