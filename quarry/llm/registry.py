@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, mixing, neardup, packing, ranking, rules
+from . import dedup, langid, mixing, neardup, packing, ranking, rules
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_classes(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op7_pairwise_quality, op8_pack_sequences)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op7_pairwise_quality, op8_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
