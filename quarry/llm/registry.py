@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, langid, mixing, neardup, packing, ranking, rules
+from . import dedup, langid, mixing, mixlm, neardup, packing, ranking, rules
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score_texts(documents(spark, sf_dir))
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -51,7 +55,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op7_pairwise_quality, op8_pack_sequences)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op6_context_mixing, op7_pairwise_quality, op8_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
