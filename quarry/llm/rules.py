@@ -45,7 +45,9 @@ def learn_rules(labelled: DataFrame, names: tuple[str, ...] = FEATURES, precisio
     """
     marks = [k / BINS for k in range(1, BINS)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
     limits = labelled.agg(*[F.percentile_approx(n, sorted(marks), 10_000).alias(n) for n in names]).first()
-    edges = {n: sorted(set(limits[n] or [])) for n in names}
+    quantiles = {n: sorted(set(limits[n] or [])) for n in names}
+    # halfway between neighbours too: where most rows have one value, a limit beside it parts them from the rest
+    edges = {n: sorted({*q, *((a + b) / 2 for a, b in zip(q, q[1:], strict=False))}) for n, q in quantiles.items()}
     binned = lambda n: F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[n]]) if edges[n] else F.array().cast("array<double>"), lambda e: e <= F.col(n)))
     rows = materialize(labelled.select("label", "fold", F.array(*[binned(n) for n in names]).alias("bins")), "binned")
     picks: list[list[tuple[int, bool, int]]] = []
