@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, editcount, langid, mixing, mixlm, neardup, packing, ranking, rules
+from . import dedup, editcount, langid, mixing, mixlm, neardup, packing, ranking, rules, secrets
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op9_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editcount.edited_counts(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 OP5_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -59,7 +63,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op6_context_mixing, op7_pairwise_quality, op8_pack_sequences, op9_edited_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op6_context_mixing, op7_pairwise_quality, op8_pack_sequences, op9_edited_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
