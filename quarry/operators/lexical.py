@@ -77,7 +77,8 @@ def score_rows(chunks: DataFrame, query: str, text: Column | None = None) -> Dat
     if not asked:
         return chunks.withColumn("bm25", F.lit(0.0))
     listed = chunks.withColumn("_tokens", tokens(F.col("text") if text is None else text))
-    counts = [F.size(F.filter("_tokens", lambda t, w=r["t"]: t == w)).alias(f"_tf{k}") for k, r in enumerate(asked)]
+    times = lambda word: F.size(F.filter("_tokens", lambda t: t == word))
+    counts = [times(r["t"]).alias(f"_tf{k}") for k, r in enumerate(asked)]
     counted = listed.select("*", F.size("_tokens").alias("_length"), *counts)
     stats = counted.agg(F.count("*"), F.avg("_length"), *[F.count_if(F.col(f"_tf{k}") > 0) for k in range(len(asked))]).first()
     n, mean = stats[0], stats[1] or 1.0
