@@ -16,7 +16,7 @@ DRIFT_LEAST, DRIFT_MOST, DRIFT_HOURS = 3, 25, 6
 
 
 def changed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the files that appear or change in a folder."""
+    """A stream of the files that appear in a folder. A file source sees a path once; refresh() finds those that change later."""
     return spark.readStream.schema(FILES).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
@@ -46,6 +46,31 @@ def follow(spark: SparkSession, store: Store, folder: str, checkpoint: str, sett
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def refresh(store: Store, folder: str, settings: Settings, embed_factory=None) -> int | None:
+    """Reindexes the files of a folder that are new or younger than their chunks, and purges those that are gone.
+
+    Times come from the listing; the contents of unchanged files aren't read. None if nothing changed.
+    """
+    spark = store.spark
+    listed = spark.read.schema(FILES).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = F.regexp_replace("path", "^file:/*", "/")
+    times = listed.select(path.alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("now"))
+    known = store.read().groupBy("path").agg(F.max("mtime").alias("then"))
+    inside = known.filter(F.col("path").startswith(folder.removeprefix("file://").rstrip("/") + "/"))
+    both = times.join(inside, "path", "full")
+    gone = both.filter("now is null").select("path")
+    changed = both.filter("now is not null and (then is null or now > then)").select("path").persist()
+    try:
+        if changed.isEmpty() and gone.isEmpty():
+            return None
+        new = as_files(listed.join(changed.withColumnRenamed("path", "_p"), path == F.col("_p"), "left_semi"), settings)
+        made = chunking.chunk_files(new.filter(~paths.is_quarantined(F.col("path"))), settings)
+        made = models.embed(made, F.col("embed_text"), embed_factory, settings.dim).drop("embed_text", "chunk_no")
+        return store.upsert(changed.unionByName(gone), made)
+    finally:
+        changed.unpersist()
+
+
 def drifted(store: Store, files: DataFrame, hours_since: float, settings: Settings) -> DataFrame | None:
     """Of files those newer than or missing in the store, DRIFT_MOST at most; None if they are few or the last look was lately."""
     if hours_since < DRIFT_HOURS:
