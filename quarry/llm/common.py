@@ -56,10 +56,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id, null included, is in the one column of ids."""
+    name = fresh(docs, "_id")
+    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import fresh, materialize, word_count
 
 GOLDEN = 0.6180339887498949
 SLOTS, MOST_BLOCK, ROUNDS, CELLS, SHARD_ROWS, SHARD_SLOTS = 65536, 4096, 3, 4096, 50_000, 65536
@@ -93,8 +93,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it: taken / size, rounded. Documents without words go."""
-    found = mix(docs, id_col, text_col, source_col).filter("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).filter("_n > 0")
-    found = found.groupBy("_id").agg(F.max("_n").alias("_n"))
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    """docs with each row as often as the mix takes it: taken / size, rounded. Documents without words go.
+
+    Rows that repeat a doc_id come as often as the one of them that is taken most.
+    """
+    name, times, copy = fresh(docs, "_id"), fresh(docs, "_times"), fresh(docs, "_copy")
+    found = mix(docs, id_col, text_col, source_col).filter("size > 0").select(F.col("doc_id").alias(name), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    found = found.groupBy(name).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    out = docs.join(found, F.col(id_col).eqNullSafe(F.col(name)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

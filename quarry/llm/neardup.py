@@ -16,11 +16,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize
+from .common import materialize, with_ids
 from .graph import components
 from .shingles import fingerprint, in_slices, mix, shingle_sets
 from .trie import similar_groups
@@ -251,8 +252,8 @@ def _only(bits: np.ndarray, mask: int):
 
     def run(frames):
         for frame in frames:
-            ids = frame.column("doc_id").to_numpy(zero_copy_only=False)
-            x = mix(np.nan_to_num(ids).astype(np.int64).view(np.uint64)) & np.uint64(mask)
+            ids = pc.fill_null(frame.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+            x = mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(mask)
             yield frame.filter(pa.array((bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)).astype(np.int64)) & 1 == 1))
 
     return run
@@ -270,7 +271,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A-Z are folded to a-z; shingles are five words, or all words of a shorter text; two texts link at a Jaccard similarity of
     3/4 or more, and component_id is the smallest doc_id that links reach. A null, empty or wordless text has no shingles and
-    its own component. Rows that repeat a doc_id are documents of their own with a common id. Other columns are ignored.
+    its own component. Rows that repeat a doc_id are documents of their own with a common id, and should have one text: of several
+    texts under one id, links to others come from either. Rows of null doc_id link only with texts of an equal set. Other columns
+    are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -300,7 +303,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = materialize(spread, "blocks")
 
     # texts of the nodes that meet others
-    first = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # min passes over nulls
     wanted = materialize(first.join(spread.select("node").distinct(), "node"), "wanted")
     size = 1 << min(27, max(12, (16 * wanted.count()).bit_length()))
     words = wanted.select("doc_id").mapInArrow(_bits, "x long").select(F.col("x").bitwiseAND(size - 1).alias("x"))
@@ -338,5 +341,5 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component."""
-    found = jaccard_classes(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    found = jaccard_classes(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return with_ids(docs, id_col, found.select("doc_id"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, with_ids
 from .textstats import FEATURES, features, text_counts
 
 BINS, MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 32, 8, 3, 0.9, 5
@@ -130,5 +130,4 @@ def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that judge keeps. Of rows with one doc_id, all stay if one does."""
-    found = judge(docs, labels, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return with_ids(docs, id_col, judge(docs, labels, id_col, text_col).filter("kept").select("doc_id"))
