@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +94,15 @@ def _tokens(hot, buckets: int):
         hot_tokens, hubs = hot.value
         by_value = np.argsort(hot_tokens)
         sorted_hot = hot_tokens[by_value]
+        task, turn = TaskContext.get().partitionId(), 0
         for batch in _batches(frames, int(BATCH_TOKENS / CUT)):
             own = {}
             for _, s in batch:
                 if len(s):
                     own.setdefault(fingerprint(s), s)
-            yield from part(list(own.items()), sorted_hot, by_value, hubs)
+            yield from part(list(own.items()), sorted_hot, by_value, hubs, (task, turn := turn + 1))
 
-    def part(items, sorted_hot, by_value, hubs):
+    def part(items, sorted_hot, by_value, hubs, place_of_batch):
         for low in range(0, len(items), 60_000):
             kept, at, info, edges = [], [], [], []
             for k, (node, s) in enumerate(items[low : low + 60_000]):
@@ -128,7 +130,8 @@ def _tokens(hot, buckets: int):
             order = np.argsort(to, kind="stable")
             tokens, at, to = tokens[order], at[order], to[order]
             cuts = np.searchsorted(to, np.arange(buckets + 1))
-            name = fingerprint(np.array([info[0][0], info[-1][0], len(info)], dtype=np.int64).view(np.uint64))
+            # a batch is named by its place in the input, which a retried task keeps
+            name = fingerprint(np.array([*place_of_batch, low], dtype=np.int64).view(np.uint64) + np.array([0, 1 << 40, 1 << 52], dtype=np.uint64))
             rows = [(b, name, tokens[i:j].tobytes(), at[i:j].tobytes(), None) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
             whole = np.array(info, dtype=np.int64).tobytes()
             rows.append((name % buckets, name, b"", b"", len(info).to_bytes(8, "little") + whole + np.array(edges, dtype=np.int64).tobytes()))
