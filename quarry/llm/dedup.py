@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, release
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES, LEAD_BYTES = 8192, 16
 
 
 def _sorted_names(keys: DataFrame, by: list[str], tag: str, keep: list[str]) -> DataFrame:
@@ -38,7 +38,9 @@ def block_identities(docs: DataFrame, key: list[str], content: str, block_bytes:
         docs.select(*key, F.greatest(F.ceil(F.octet_length(content) / size), F.lit(1)).cast("int").alias("parts"), F.posexplode(cut).alias("at", "block"))
         .withColumn("digest", F.unhex(F.sha2("block", 256)))
     )
-    names = _sorted_names(blocks.select("block").distinct().withColumn("digest", F.unhex(F.sha2("block", 256))), ["block"], "names", ["digest"])
+    # one row a distinct block; sorted by its first bytes and digest, so that whole blocks are neither sampled nor moved again
+    keys = blocks.select("block").distinct().select(F.substring("block", 1, LEAD_BYTES).alias("lead"), F.unhex(F.sha2("block", 256)).alias("digest"))
+    names = _sorted_names(keys, ["lead", "digest"], "names", ["digest"])
     if names.groupBy("digest").count().filter("count > 1").isEmpty():
         now = blocks.drop("block").join(names, "digest").drop("digest")
     else:
