@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, release
+from .common import ascii_lower, materialize, release, with_ids
 
 BLOCK_BYTES, LEAD_BYTES = 8192, 16
 
@@ -91,6 +91,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; which of several rows with one doc_id and text stays is open."""
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(found.distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    return with_ids(docs, id_col, exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id"))
