@@ -37,8 +37,8 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(FOLD)
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all parts in order, and the number of words of each part."""
+def word_spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all parts in order: the bytes they lie in, their starts there, lengths and hashes; and each part's number."""
     buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     inside = IN_WORD[buf]
     edge = np.diff(inside.view(np.int8), prepend=0)
@@ -46,17 +46,17 @@ def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     limits = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.searchsorted(starts, limits), prepend=0)
     if not len(starts):
-        return np.empty(0, dtype=np.uint64), counts
+        return buf, starts, starts, np.empty(0, dtype=np.uint64), counts
     lengths = np.flatnonzero(edge == -1) - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(at)) - np.repeat(first, lengths)
     sums = np.add.reduceat(BYTE[buf[at]] * powers(int(lengths.max()))[place], first)
-    return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), counts
+    return buf, starts, lengths, mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), counts
 
 
 def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
     """Of each folded text: the sorted distinct hashes of its 5-word shingles, or of its words as one if there are fewer."""
-    words, counts = word_hashes(parts)
+    *_, words, counts = word_spans(parts)
     n = len(words) - WIDTH + 1
     rows = mix(sum(words[k : k + n] * PLACE[k] for k in range(WIDTH))) if n > 0 else np.empty(0, dtype=np.uint64)
     out, at = [], 0
