@@ -19,7 +19,8 @@ from .tokens import default_paths, encoder
 
 RUN, MOST_CACHED, CACHED_CHARS = 64, 400_000, 64
 #: What the query replaces: addresses, long hexadecimal strings and long numbers.
-REDACT = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|\d{6,}")
+#: Each run is tried once, from its start and without going back, so that long runs cost no more than their length.
+REDACT = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|\d{6,}")
 REDACTED = "[removed]"
 
 
