@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.format == "json":
             print(json.dumps([r.asDict() for r in found], ensure_ascii=False))
             return 0
-        print(rpc.render(found, 10**9 if a.full else a.snippet))
+        print(rpc.render(found, 10**9 if a.full else a.snippet, True))
         return 0 if found else 1
     if a.command == "build":
         store.check()

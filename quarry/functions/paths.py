@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code extensions, languages by extension, excluded folders.
+#: Code extensions, languages by extension, excluded folders (those that begin with .venv or .wt- go by a rule), patterns.
 CODE_EXTENSIONS = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".sh", ".bash", ".zsh")
 LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".sh": "shell", ".bash": "shell",
@@ -13,7 +13,7 @@ LANGUAGES = {
 }
 EXCLUDED_PARTS = (
     "site-packages htmlcov .eggs .tox node_modules vendor dist build coverage .git .next .turbo venv .venv __pycache__ .pytest_cache .mypy_cache test-results playwright-report "
-    ".storybook .docusaurus .worktrees worktrees .wt-res .wt-luckynotify .wt-notify .wt-ufw .wt-strict .wt-renovate .wt-disc .wt-fix .wt-notify-clean"
+    ".storybook .docusaurus .worktrees worktrees"
 ).split()
 MAX_FILE_BYTES = 200_000
 SYMBOL_LOOKUP = (

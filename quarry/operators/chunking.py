@@ -25,6 +25,7 @@ TAG_AXES = ("project/", "topic/", "type/")
 #: start_line, end_line, body, symbol; lines from 1, and 0 and 0 for a made-up chunk.
 Chunk = tuple[int, int, str, str]
 
+#: Fixed patterns of declarations.
 NAME = r"[A-Za-z_$][\w$]*"
 DECLARATION = re.compile(
     rf"^([ \t]*)(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\*?\s+({NAME})|class\s+({NAME})|(?:const|let|var)\s+({NAME})\s*[:=]|(?:interface|type|enum)\s+({NAME}))", re.M

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .chunking import NAME, closing_line, line_of
 
+#: Fixed patterns of definitions, imports and calls.
 DEFINITION = re.compile(
     rf"^([ \t]*)(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:async\s+)?"
     rf"(?:function\*?\s+({NAME})|class\s+({NAME})|(?:interface|type|enum)\s+({NAME})|(?:const|let|var)\s+({NAME})\s*[:=])",

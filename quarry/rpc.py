@@ -16,14 +16,20 @@ TOOLS = [
         "description": "Search all indexed chunks.",
         "inputSchema": {
             "type": "object",
-            "properties": {"query": {"type": "string"}, "top": {"type": "integer"}, "scope_types": {"type": "array", "items": {"type": "string"}}, "scope_repos": {"type": "array", "items": {"type": "string"}}},
+            "properties": {
+                "query": {"type": "string"},
+                "top": {"type": "integer", "default": 5, "minimum": 1, "maximum": 20},
+                "scope_types": {"type": "array", "items": {"type": "string"}, "description": "types of chunks"},
+                "scope_repos": {"type": "array", "items": {"type": "string"}, "description": "names of repos, or ['all'] for no scope by folder"},
+                "cwd": {"type": "string", "description": "folder that decides the repo"},
+            },
             "required": ["query"],
         },
     },
     {
-        "name": "rag_knowledge",
+        "name": "search_knowledge",
         "description": "Search notes, standards, plans and decisions.",
-        "inputSchema": {"type": "object", "properties": {"query": {"type": "string"}, "top": {"type": "integer"}}, "required": ["query"]},
+        "inputSchema": {"type": "object", "properties": {"query": {"type": "string"}, "top": {"type": "integer", "default": 5, "minimum": 1, "maximum": 20}}, "required": ["query"]},
     },
 ]
 
@@ -35,14 +41,15 @@ def clamp(value, default: int = 5, low: int = 1, high: int = 20) -> int:
         return default
 
 
-def render(hits: list, size: int = SNIPPET) -> str:
+def render(hits: list, size: int = SNIPPET, dots: bool = False) -> str:
+    """Two lines a hit: place and scores, then its text on one line. The layout is a fixed format."""
     if not hits:
-        return "No results."
+        return "No matches."
     out = []
     for h in hits:
         place = "/".join(x for x in (h["source_type"], h["repo"]) if x) + (f"::{h['symbol']}" if h["symbol"] else "")
-        text = h["text"][:size].replace("\n", " ") + ("…" if len(h["text"]) > size else "")
-        out.append(f"{h['rank']}. [{place}] {h['path']}:{h['start_line']}-{h['end_line']} (rrf={h['rrf']} cos={h['cos']} bm25={h['bm25']})\n   {text}")
+        more = "…" if dots and len(h["text"]) > size else ""
+        out += [f"#{h['rank']}  rrf={h['rrf']} cos={h['cos']} bm={h['bm25']}  [{place}]  {h['path']}:{h['start_line']}-{h['end_line']}", "  " + h["text"][:size].replace("\n", " ") + more]
     return "\n".join(out)
 
 
@@ -60,10 +67,10 @@ def answer(engine: Engine, message: dict) -> dict | None:
         return None if message.get("id") is None else made | {"error": {"code": NO_METHOD, "message": f"no method {method}"}}
     a, name = params.get("arguments") or {}, params.get("name")
     try:
-        if name == "rag_knowledge":
+        if name == "search_knowledge":
             found = engine.knowledge(a["query"], clamp(a.get("top")))
         elif name == "rag_query":
-            found = engine.search(a["query"], clamp(a.get("top")), a.get("scope_types"), a.get("scope_repos"), rerank=a.get("rerank", True))
+            found = engine.search(a["query"], clamp(a.get("top")), a.get("scope_types"), a.get("scope_repos"), a.get("cwd"), a.get("rerank", True))
         else:
             return made | {"error": {"code": NO_METHOD, "message": f"no tool {name}"}}
         return made | {"result": {"content": [{"type": "text", "text": render(found.collect())}]}}

@@ -146,7 +146,7 @@ def test_config(tmp_path):
 def test_server(spark):
     df = models.embed(store.with_ids(chunks(spark, [("memory", "/a", "some board text")])).drop("embedding"), F.col("text"), dim=16)
     engine = Engine(df, Settings(dim=16))
-    ask = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "rag_knowledge", "arguments": {"query": "board", "top": "99"}}}, {"id": 4, "method": "nope"}, {"id": 5, "method": "tools/call", "params": {"name": "rag_query", "arguments": {}}}]
+    ask = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "search_knowledge", "arguments": {"query": "board", "top": "99"}}}, {"id": 4, "method": "nope"}, {"id": 5, "method": "tools/call", "params": {"name": "rag_query", "arguments": {}}}]
     out = io.StringIO()
     rpc.serve(engine, io.StringIO("\n".join(map(json.dumps, ask)) + "\nnot json\n"), out)
     got = {m["id"]: m for m in map(json.loads, out.getvalue().splitlines())}
