@@ -7,8 +7,6 @@ the columns of its n-grams and summing them by text. Slices bound the memory, al
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +19,6 @@ from .shingles import mix
 ORDERS, BITS, SLICE_CHARS = (1, 2, 3, 4), 16, 1 << 18
 #: Characters of labelled text that a language's counts come from, on average at most; drawn by a hash of doc_id. The only sample.
 SAMPLE_DOCS, SAMPLE_CHARS, ALPHA = 4000, 8_000_000, 0.5
-LETTER = re.compile(r"[^\W\d_]")
 STEP = mix(np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -114,7 +111,7 @@ def _predict(model, langs: list[str]):
                 share = np.exp(total)
                 share /= share.sum(axis=1, keepdims=True)
                 best = share.argmax(axis=1)
-                known = [bool(t and LETTER.search(t)) for t in texts]
+                known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
