@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, word_count
 
 GOLDEN = 0.6180339887498949
-SLOTS, MOST_BLOCK, ROUNDS, CELLS, SHARD_ROWS, SHARD_SLOTS = 65536, 4096, 3, 4096, 50_000, 65536
+SLOTS, MOST_BLOCK, ROUNDS, CELLS, SHARD_SLOTS = 65536, 4096, 3, 4096, 4096
 #: Sources take these weights in turn.
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = -(-total // block)
 
     # documents in shuffled order on their source's line of tokens, which is cut into blocks
-    shards = max(1, rows // SHARD_ROWS)
+    shards = max(1, round(rows**0.5))  # as many as rows in each, so neither a shard nor the table of shards grows fast
     key = F.xxhash64("doc_id", "size")
     lined = sized.withColumn("key", key).withColumn("shard", F.floor((F.shiftrightunsigned("key", 1) / F.lit(float(2**63))) * shards).cast("int")).withColumn("key", F.shiftrightunsigned("key", 1))
     lined = _running(lined, ["source"], "shard", ["key", "doc_id", "size"], "size", "start")
