@@ -18,7 +18,7 @@ def engine(spark):
         ("memory", None, "", "/n/memory/e.md", "unrelated words about cooking"),
         ("code", "app", "", "/r/app/a.test.ts", "test createPlayer twice"),
     ]
-    rows = [(i, t, r, "x", s, p, 1, 2, x, "sha", float(i)) for i, (t, r, s, p, x) in enumerate(texts)]
+    rows = [(i, t, r, "x", s, p, 1, 2, x, "sha", i * 20 * 86400.0) for i, (t, r, s, p, x) in enumerate(texts)]
     df = spark.createDataFrame(rows, "id long, source_type string, repo string, language string, symbol string, path string, start_line int, end_line int, text string, file_sha string, mtime double")
     return Engine(models.embed(df, F.col("text"), dim=32), Settings(dim=32))
 
