@@ -99,8 +99,9 @@ def idf_table(spark, sf):
 
 
 def topk(scored: DataFrame, k: int = TOP) -> DataFrame:
-    ranked = fusion.leading(scored, "bm25", "rank", k)
-    return ranked.join(scored, "id").select(F.col("rank").cast("long").alias("rank"), "id", F.round("bm25", 4).alias("bm25"))
+    best = scored.select("id", "bm25", F.round("bm25", 9).alias("_s")).orderBy(F.desc("_s"), "id").limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("_s"), "id")).cast("long")
+    return best.select(rank.alias("rank"), "id", F.round("bm25", 4).alias("bm25"))
 
 
 TOPK_SQL = f"SELECT row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS rank, id, round(bm25, 4) AS bm25 FROM bm QUALIFY rank <= {TOP}"

@@ -23,9 +23,11 @@ def tokens(text: Column) -> Column:
 
     def parts(token: Column) -> Column:
         subs = F.filter(F.regexp_extract_all(token, F.lit(SUB_TOKEN), F.lit(0)), lambda s: F.length(s) >= 2)
-        return F.element_at(
+        split = F.element_at(
             F.transform(F.array(subs), lambda s: F.when(F.size(s) > 1, F.concat(F.array(F.lower(token)), F.transform(s, F.lower))).otherwise(F.array(F.lower(token)))), 1
         )
+        # a plain word has a single part: most tokens end here
+        return F.when(token.rlike("^[A-Z]?[a-z]+$"), F.array(F.lower(token))).otherwise(split)
 
     return F.flatten(F.transform(raw_tokens(text), parts))
 
