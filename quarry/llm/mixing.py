@@ -1,12 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The golden-ratio sequence frac(i * phi) fills [0, 1) evenly at every length. Slot i of the mix goes to the source whose part
-of the cumulative target shares holds point i; the slots of a source are ranked, and its k-th slot takes its k-th block of
-equal token count, from the documents of the source in shuffled order, round and round again (three rounds at most).
+of the cumulative shares of slots holds point i; the slots of a source are ranked, and its k-th slot takes its k-th block of
+equal token count, from the documents of the source in shuffled order, round and round again (three rounds at most). A source's
+blocks have a size of their own, so that none is mostly empty, and its share of slots is its target over that size. Slots beyond
+the target go, slots that the points leave out are added, and the last one takes only the words that the target still lacks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +62,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = materialize(source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
     total, rows = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     block = max(1, min(MOST_BLOCK, total // SLOTS))
-    slots = -(-total // block)
+    # words of a block of the source; whole rounds, whole slots and the words of one more that make up the target
+    plan = targets.filter("source_size > 0 and target > 0").withColumn("wide", F.ceil(F.col("source_size") / F.ceil(F.col("source_size") / block)))
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("wide"))).withColumn("full", F.floor(F.col("target") / F.col("source_size")))
+    plan = plan.withColumn("left", F.round(F.col("target")).cast("long") - F.col("full") * F.col("source_size")).withColumn("whole", F.col("full") * F.col("blocks") + F.floor(F.col("left") / F.col("wide"))).withColumn("rest", F.pmod("left", "wide"))
+    plan = plan.withColumn("share", F.col("target") / F.col("wide")).select("source", "source_size", "wide", "blocks", "whole", "rest", "share")
+    plan = materialize(plan, "plan")
+    slots = math.ceil(plan.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0])
 
     # documents in shuffled order on their source's line of tokens, which is cut into blocks
     shards = max(1, round(rows**0.5))  # as many as rows in each, so neither a shard nor the table of shards grows fast
@@ -70,23 +80,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # points to sources: each source's part of [0, 1) lies in a few of CELLS cells, so the lookup is a join on the cell
     upto = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")).rowsBetween(Window.unboundedPreceding, 0)
-    parts = targets.filter("target > 0").withColumn("high", F.sum("target").over(upto)).withColumn("low", F.col("high") - F.col("target"))
-    scale = F.greatest(F.sum("target").over(Window.partitionBy(F.lit(1))), F.lit(1e-9))
+    parts = plan.withColumn("high", F.sum("share").over(upto)).withColumn("low", F.col("high") - F.col("share"))
+    scale = F.greatest(F.sum("share").over(Window.partitionBy(F.lit(1))), F.lit(1e-9))
     parts = parts.withColumn("low", F.col("low") / scale).withColumn("high", F.when(F.col("high") >= scale * (1 - 1e-12), F.lit(1.0)).otherwise(F.col("high") / scale))
     cell = lambda c: F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1)).cast("int")
-    parts = parts.select("source", "source_size", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
+    parts = parts.select("source", "blocks", "whole", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     points = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN).alias("p")).withColumn("p", F.col("p") - F.floor("p")).withColumn("cell", cell("p"))
-    placed = points.join(parts, "cell").filter((F.col("p") >= F.col("low")) & (F.col("p") < F.col("high"))).select("slot", "source", "source_size", F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / SHARD_SLOTS).alias("span"))
+    placed = points.join(parts, "cell").filter((F.col("p") >= F.col("low")) & (F.col("p") < F.col("high"))).select("slot", "source", "blocks", "whole", F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / SHARD_SLOTS).alias("span"))
     ranked = _running(placed, ["source"], "span", ["slot"], "one", "rank")
-    blocks = F.ceil(F.col("source_size") / block)
-    rounds = ranked.filter(F.col("rank") < blocks * ROUNDS).groupBy("source", (F.col("rank") % blocks).alias("block")).agg(F.count("*").alias("times"))
+    given = ranked.filter(F.col("rank") < F.col("whole")).select("source", (F.col("rank") % F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("rest"))
+    met = placed.groupBy("source").agg(F.count("*").alias("met")).withColumnRenamed("source", "_s")
+    lacking = plan.join(met, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("met", F.coalesce("met", F.lit(0))).filter("met < whole")
+    lacking = lacking.select("source", "blocks", F.explode(F.sequence("met", F.col("whole") - 1)).alias("rank")).select("source", (F.col("rank") % F.col("blocks")).alias("block"), F.lit(1).cast("long"), F.lit(0).cast("long"))
+    last = plan.filter("rest > 0").select("source", (F.col("whole") % F.col("blocks")).alias("block"), F.lit(0).cast("long"), "rest")
+    rounds = given.union(lacking).union(last).groupBy("source", "block").agg(F.sum("times").alias("times"), F.sum("rest").alias("rest"))
 
     # a document's words lie in one block or in a few
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = lined.filter("size > 0").select("source", "row", F.explode(F.sequence(first, last)).alias("block"))
-    pieces = pieces.withColumn("words", F.least(F.col("row.start") + F.col("row.size"), (F.col("block") + 1) * block) - F.greatest(F.col("row.start"), F.col("block") * block))
-    rounds = rounds.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
-    taken = pieces.join(rounds, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).groupBy("source", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    lined_wide = joined(lined.filter("size > 0"), plan.select("source", "wide"))
+    wide = F.col("wide")
+    first, final = F.floor(F.col("start") / wide), F.floor((F.col("start") + F.col("size") - 1) / wide)
+    pieces = lined_wide.select("source", "row", "wide", F.explode(F.sequence(first, final)).alias("block"))
+    from_word = F.greatest(F.col("row.start"), F.col("block") * wide)
+    upto_word = lambda end: F.greatest(F.least(F.col("row.start") + F.col("row.size"), F.col("block") * wide + end) - from_word, F.lit(0))
+    rounds = rounds.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times", "rest")
+    taken = pieces.join(rounds, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).groupBy("source", "row").agg(F.sum(upto_word(wide) * F.col("times") + upto_word(F.col("rest"))).alias("taken"))
     taken = taken.select(F.col("source").alias("_s"), F.col("row").alias("_r"), "taken")
     out = lined.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

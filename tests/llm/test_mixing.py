@@ -47,3 +47,20 @@ def test_empty_and_wordless(spark, docs_of):
     assert mixing.mix(docs_of([])).count() == 0
     assert [r.taken for r in mixing.mix(docs_of([(1, None, None, None), (1, " ", None, "a")])).collect()] == [0, 0]
     assert mixing.mixed_documents(docs_of([(1, None, None, None)])).count() == 0
+
+
+def test_sources_smaller_than_a_block(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 8)  # blocks of 4,096 words from 32,768 words on
+    sizes = {"a": 20, "b": 60000, "c": 1000, "d": 5000, "e": 40000, None: 300}
+    rows = []
+    for s, n in sizes.items():
+        for low in range(0, n, 100):
+            rows.append((len(rows), " ".join(["w"] * min(100, n - low)), "en", s))
+    want = fill(sizes)
+    taken = {}
+    for r in mixing.mix(docs_of(rows)).collect():
+        assert r.taken <= 3 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes), (taken, want)
+    kept = {r.source for r in mixing.mixed_documents(docs_of(rows)).select("source").distinct().collect()}
+    assert kept == set(sizes)
