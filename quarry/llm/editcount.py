@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .tokens import default_paths, encoder
 
-RUN, MOST_CACHED, CACHED_CHARS = 64, 400_000, 64
+RUN, MOST_IN_RUN, WINDOW, MOST_CACHED, CACHED_CHARS = 64, 1024, 64, 400_000, 64
 #: What the query replaces: addresses, long hexadecimal strings and long numbers.
 #: Each run is tried once, from its start and without going back, so that long runs cost no more than their length.
 REDACT = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|\d{6,}")
@@ -42,22 +42,25 @@ class Counter:
 
 
 class CountTree:
-    """A text's pre-tokens in runs, under a binary tree of (characters, tokens)."""
+    """A text's pre-tokens in runs, under a binary tree of (characters, tokens). A run is its text and its pieces' sizes and counts,
+    so an edit copies the runs that it touches and nothing else."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter = text, counter
+        self.counter = counter
         pieces = counter.split(text)
         kept = counter.kept
         counts = [kept[p] if p in kept else counter(p) for p in pieces]
-        sizes = list(map(len, pieces))
-        self.runs = [(sizes[i : i + RUN], counts[i : i + RUN]) for i in range(0, len(pieces), RUN)] or [([], [])]
+        self._plant(_runs(text, list(map(len, pieces)), counts))
+        self.pieces, self.encoded = len(pieces), 0
+
+    def _plant(self, runs: list[tuple[str, list[int], list[int]]]) -> None:
+        self.runs = runs or [("", [], [])]
         self.width = 1 << (len(self.runs) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, (s, c) in enumerate(self.runs):
-            self.chars[self.width + k], self.tokens[self.width + k] = sum(s), sum(c)
+        for k, (t, _, c) in enumerate(self.runs):
+            self.chars[self.width + k], self.tokens[self.width + k] = len(t), sum(c)
         for k in range(self.width - 1, 0, -1):
             self._add(k)
-        self.pieces, self.encoded = len(pieces), 0
 
     def _add(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -66,6 +69,12 @@ class CountTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    def length(self) -> int:
+        return self.chars[1]
+
+    def text(self) -> str:
+        return "".join(t for t, _, _ in self.runs)
+
     def _find(self, at: int) -> tuple[int, int]:
         """The run that holds character at, and where it starts; the last run if at is the end."""
         k, start = 1, 0
@@ -77,24 +86,31 @@ class CountTree:
         return k - self.width, start
 
     def edit(self, start: int, stop: int, new: str) -> None:
-        """Replace text[start:stop] by new."""
+        """Replace the text from start to stop by new."""
         run, at = self._find(max(0, start - 2))
-        sizes = self.runs[run][0]
-        first = 0
+        own, sizes, _ = self.runs[run]
+        first, before = 0, 0
         while first < len(sizes) and at + sizes[first] < start - 1:
-            at += sizes[first]
-            first += 1
-        text = self.text[:start] + new + self.text[stop:]
+            at, before, first = at + sizes[first], before + sizes[first], first + 1
+        # the text from there on, run by run, with the edit in it
+        parts, have, last = [own[before:]], len(own) - before, run
+        while at + have < stop and last + 1 < len(self.runs):
+            last += 1
+            parts.append(self.runs[last][0])
+            have += len(parts[-1])
+        tail = "".join(parts)
+        behind = iter(range(last + 1, len(self.runs)))
+        pieces = self._split(tail[: start - at] + new + tail[stop - at :], lambda: next((self.runs[k][0] for k in behind), None))
         grown = len(new) - (stop - start)
         # old boundaries from here on, while new pre-tokens are made one after another
         old_run, old_k, old_end = run, first, at
-        made: list[tuple[int, int]] = []
+        made: list[str] = []
         where = at
-        for piece in self._from(text, at):
-            made.append((len(piece), self.counter(piece)))
+        for piece in pieces:
+            made.append(piece)
             where += len(piece)
             while old_end + grown < where or old_end < stop:
-                sizes = self.runs[old_run][0]
+                sizes = self.runs[old_run][1]
                 if old_k < len(sizes):
                     old_end += sizes[old_k]
                     old_k += 1
@@ -105,45 +121,63 @@ class CountTree:
             if old_end + grown == where and old_end >= stop:
                 break
         else:  # the new text ended: nothing old is left behind it
-            old_run, old_k = len(self.runs) - 1, len(self.runs[-1][0])
+            old_run, old_k = len(self.runs) - 1, len(self.runs[-1][1])
         self.encoded += len(made)
-        before, behind = self.runs[run], self.runs[old_run]
-        sizes = before[0][:first] + [m[0] for m in made]
-        counts = before[1][:first] + [m[1] for m in made]
+        text, sizes, counts = self.runs[old_run]
+        rest = (text[sum(sizes[:old_k]) :], sizes[old_k:], counts[old_k:])
+        text, sizes, counts = self.runs[run]
+        now = (text[:before] + "".join(made), sizes[:first] + list(map(len, made)), counts[:first] + list(map(self.counter, made)))
         if old_run == run:
-            sizes, counts = sizes + behind[0][old_k:], counts + behind[1][old_k:]
+            now = tuple(a + b for a, b in zip(now, rest, strict=True))
         else:
-            self.runs[old_run] = (behind[0][old_k:], behind[1][old_k:])
-        self.runs[run] = (sizes, counts)
+            self.runs[old_run] = rest
+        self.runs[run] = now
         for k in range(run + 1, old_run):
-            self.runs[k] = ([], [])
-        self.text = text
+            self.runs[k] = ("", [], [])
+        if len(now[1]) > MOST_IN_RUN:  # so many pieces came in that the whole tree is planted anew at a small cost for each
+            self._plant([part for r in self.runs for part in _runs(*r)])
+            return
         changed = set()
         for k in range(run, old_run + 1):
-            s, c = self.runs[k]
-            self.chars[self.width + k], self.tokens[self.width + k] = sum(s), sum(c)
+            self.chars[self.width + k], self.tokens[self.width + k] = len(self.runs[k][0]), sum(self.runs[k][2])
             changed.add((self.width + k) // 2)
         while changed and 0 not in changed:
             for k in changed:
                 self._add(k)
             changed = {k // 2 for k in changed}
 
-    def _from(self, text: str, at: int):
-        """Pre-tokens from at on, split from growing parts of the text; a part's last two may go on, so they wait."""
-        size, low = 256, at
-        while low < len(text):
-            high = min(len(text), low + size)
-            found = self.counter.split(text[low:high])
-            if high < len(text):
-                # matches that could see the cut are made again from the next part
-                while found and low + sum(map(len, found)) > high - 3:
-                    found.pop()
-                if not found:
-                    size *= 4
-                    continue
+    def _split(self, text: str, more):
+        """Pre-tokens of text and what more() adds, split from windows of it; those that could see a window's end wait for the next."""
+        size, low, done = WINDOW, 0, False
+        while True:
+            while len(text) - low <= size and not done:
+                part = more()
+                done = part is None
+                text, low = text[low:] + (part or ""), 0
+            if low == len(text):
+                return
+            ended = done and len(text) - low <= size
+            left = len(text) - low if ended else size - 3
+            found = self.counter.split(text[low : low + size])
             for piece in found:
+                left -= len(piece)
+                if left < 0:
+                    break
                 yield piece
                 low += len(piece)
+            if not ended and found and len(found[0]) > size - 3:
+                size *= 4
+
+
+def _runs(text: str, sizes: list[int], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
+    """Runs of RUN pieces."""
+    out, at = [], 0
+    for i in range(0, len(sizes), RUN):
+        part = sizes[i : i + RUN]
+        end = at + sum(part)
+        out.append((text[at:end], part, counts[i : i + RUN]))
+        at = end
+    return out
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
@@ -170,7 +204,7 @@ def _counts(paths: tuple[str, str], find):
                 for start, stop, new in edits:  # in order, not overlapping
                     tree.edit(start + moved, stop + moved, new)
                     moved += len(new) - (stop - start)
-                rows.append((doc, before, tree.total(), len(edits), tree.pieces, tree.encoded, len(tree.text)))
+                rows.append((doc, before, tree.total(), len(edits), tree.pieces, tree.encoded, tree.length()))
             names = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_pieces", "n_encoded_again", "n_chars_edited"]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)})
 
@@ -182,7 +216,8 @@ def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_encoded_again (pre-tokens that the edits made anew), n_chars_edited.
 
     find gives (start, stop, new) in order and without overlap. A null text counts as empty: 0 tokens. The special token's name in
-    a text is ordinary text. Rows that repeat a doc_id are counted each; an empty table gives no rows. Other columns are ignored.
+    a text is ordinary text here. The work is linear in a text's length and in its edits, also for very long texts, of which one at a time is
+    held. Rows that repeat a doc_id are counted each; an empty table gives no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
