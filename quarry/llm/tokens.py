@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 
-#: Text that the vocabulary file names as a special token; texts that contain it go through the `tokenizers` library itself.
+#: Text that the vocabulary file names as a special token; texts that contain it go through the `tokenizers` library itself, which
+#: makes one id of it.
 SPECIAL = "<|endoftext|>"
 END_ID = 0
 _loaded: dict[tuple[str, str], object] = {}
@@ -35,7 +36,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.plain = Tokenizer.from_file(self.json_path)
-            self.plain.encode_special_tokens = True
         return self.plain.encode(text, add_special_tokens=False).ids
 
 

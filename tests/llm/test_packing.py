@@ -23,14 +23,12 @@ def test_fullest_equals_all_subsets():
 
 @pytest.fixture(scope="module")
 def slow():
-    t = Tokenizer.from_file(default_paths()[0])
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_paths()[0])
 
 
 def test_round_trip(spark, docs_of, slow):
     draw = random.Random(3)
-    texts = [None, "", " ", f"a {SPECIAL} b", "é😀\x00 ünï", "x" * 5000]
+    texts = [None, "", " ", f"a {SPECIAL} b", f"{SPECIAL}{SPECIAL}\n {SPECIAL}x", "<|endoftext", "é😀\x00 ünï", "x" * 5000]
     texts += [" ".join("".join(draw.choice("etaoin ##1'\n") for _ in range(draw.randint(1, 9))) for _ in range(draw.choice([1, 50, 300, 2500]))) for _ in range(150)]
     rows = [(i, t, "", "") for i, t in enumerate(texts)]
     docs = docs_of(rows)
@@ -62,3 +60,9 @@ def test_round_trip(spark, docs_of, slow):
 def test_repeated_rows_and_empty_table(spark, docs_of):
     assert len(packing.pack(docs_of([(1, "a", "", ""), (1, "a", "", ""), (None, "b", "", "")])).collect()) == 3
     assert packing.pack(docs_of([])).count() == 0
+
+
+def test_a_special_name_is_one_id(slow):
+    from quarry.llm.tokens import encoder
+
+    assert encoder(default_paths()).ids(f"a {SPECIAL} b") == slow.encode(f"a {SPECIAL} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
