@@ -69,10 +69,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id, null included, is in the one column of ids."""
-    name = fresh(docs, "_id")
-    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a text where rows are matched to what was found of them."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def keep_rows(docs: DataFrame, id_col: str, marks: list[Column], keys: DataFrame) -> DataFrame:
+    """The rows of docs whose id and marks of the text are in keys (id, the marks, once), each key of which comes once.
+
+    Ids may repeat, under one text or several, and may be null. Where once holds, one of the rows that agree in id and marks stays:
+    the least one by all columns, which must be orderable.
+    """
+    names = [fresh(docs, f"_key{k}") for k in range(len(keys.columns))]
+    keys = materialize(keys.toDF(*names), "keys")
+    once, same = F.col(names[-1]), F.col(id_col).eqNullSafe(F.col(names[0]))
+    for mark, name in zip(marks, names[1:], strict=False):
+        same = same & (mark == F.col(name))
+    if keys.filter(once).isEmpty():
+        return docs.join(keys, same, "left_semi")
+    found = docs.join(keys, same)
+    least = found.filter(once).groupBy(*names[:-1]).agg(F.min(F.struct(*docs.columns)).alias(names[-1])).select(f"{names[-1]}.*")
+    return found.filter(~once).select(*docs.columns).unionByName(least)
 
 
 def word_count(text: Column) -> Column:

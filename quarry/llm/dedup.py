@@ -9,12 +9,14 @@ the blocks themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, release, with_ids
+from .common import ascii_lower, keep_rows, materialize, release
 
 BLOCK_BYTES, LEAD_BYTES = 8192, 16
+#: Stands for a null doc_id, below all others.
+NO_ID = -(2**63)
 
 
 def _sorted_names(keys: DataFrame, by: list[str], tag: str, keep: list[str]) -> DataFrame:
@@ -70,25 +72,44 @@ def block_identities(docs: DataFrame, key: list[str], content: str, block_bytes:
     return out
 
 
+def _normal(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit(""))).cast("binary")
+
+
+def _sha(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """doc_id (NO_ID for null), sha, copies, keep_id, group_size: a row for each doc_id and normalised text."""
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), _normal(F.col(text_col)).alias("norm")).select("doc_id", _sha(F.col("norm")).alias("sha"), "norm")
+    named = block_identities(keyed, ["doc_id", "sha"], "norm", block_bytes)
+    rows = named.groupBy("level", "name", "doc_id", "sha").agg(F.sum("copies").alias("copies"))
+    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    return rows.join(groups, ["level", "name"])
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are after A-Z became a-z. The largest doc_id of equal texts stays. A null text counts as empty,
-    and empty texts are equal to each other. Of rows that repeat a doc_id and text, one is kept. A null doc_id is below all
-    others. An empty table gives no rows. Other columns are ignored, whatever their names.
+    and empty texts are equal to each other. Of rows that repeat a doc_id and text, one is kept; rows that repeat a doc_id with
+    different texts are documents of their own. A null doc_id is below all others. A text of any length is cut into blocks, so no
+    row is larger than a block once it is cut. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    norm = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("norm"))
-    keyed = norm.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
-    named = block_identities(keyed, ["doc_id", "sha"], "norm", block_bytes)
-    rows = named.groupBy("level", "name", "doc_id", "sha").agg(F.sum("copies").alias("copies"))
-    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    each = rows.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    real = lambda c: F.when(F.col(c) != -(2**63), F.col(c)).alias(c)
+    each = _groups(docs, id_col, text_col, block_bytes).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return each.select(
         real("doc_id"), real("keep_id"), "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; which of several rows with one doc_id and text stays is open."""
-    return with_ids(docs, id_col, exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id"))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns: one of each group of equal texts.
+
+    Rows are told apart by doc_id and text, so a row stays or goes by its own text whatever else has its doc_id. Of rows that agree
+    in both, the least by all columns stays. Odd rows are treated as in exact_dedup.
+    """
+    kept = _groups(docs, id_col, text_col, block_bytes).filter("doc_id = keep_id")
+    keys = kept.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")), "sha", F.col("copies") > 1)
+    return keep_rows(docs, id_col, [_sha(_normal(F.col(text_col)))], keys)

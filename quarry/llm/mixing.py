@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, word_count
+from .common import fresh, materialize, text_hashes, word_count
 
 GOLDEN = 0.6180339887498949
 SLOTS, MOST_BLOCK, ROUNDS, CELLS, SHARD_SLOTS = 65536, 4096, 3, 4096, 4096
@@ -53,10 +53,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row a document: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     A null text has size 0; a null source is a source of its own. Rows that repeat a doc_id are separate documents. Documents
-    of size 0 are taken 0 times. An empty table, or one without words, takes nothing. The order is a function of doc_id and
-    size alone, so reruns agree. Other columns are ignored.
+    of size 0 are taken 0 times. A text longer than a block lies in several and is taken in part where not all of them are. An
+    empty table, or one without words, takes nothing. The order is a function of doc_id, size and text, so reruns agree. Other
+    columns are ignored.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _mixed(docs, id_col, text_col, source_col).drop("h1", "h2")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of mix with the hashes of their texts."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *text_hashes(F.col(text_col)))
     sized = materialize(sized, "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = materialize(source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
@@ -74,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = max(1, round(rows**0.5))  # as many as rows in each, so neither a shard nor the table of shards grows fast
     key = F.xxhash64("doc_id", "size")
     lined = sized.withColumn("key", key).withColumn("shard", F.floor((F.shiftrightunsigned("key", 1) / F.lit(float(2**63))) * shards).cast("int")).withColumn("key", F.shiftrightunsigned("key", 1))
-    lined = _running(lined, ["source"], "shard", ["key", "doc_id", "size"], "size", "start")
+    lined = _running(lined, ["source"], "shard", ["key", "doc_id", "size", "h1", "h2"], "size", "start")
     joined = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     lined = joined(lined, targets.select("source", "source_size", "target")).withColumn("row", F.struct("doc_id", "size", "start"))
 
@@ -106,16 +112,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = pieces.join(rounds, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).groupBy("source", "row").agg(F.sum(upto_word(wide) * F.col("times") + upto_word(F.col("rest"))).alias("taken"))
     taken = taken.select(F.col("source").alias("_s"), F.col("row").alias("_r"), "taken")
     out = lined.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "h1", "h2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with each row as often as the mix takes it: taken / size, rounded. Documents without words go.
 
-    Rows that repeat a doc_id come as often as the one of them that is taken most.
+    Rows that agree in doc_id, source and text are taken together: the least of them by all columns, which must be orderable, comes as
+    often as they are all taken. Rows with one doc_id and different texts or sources are documents of their own.
     """
-    name, times, copy = fresh(docs, "_id"), fresh(docs, "_times"), fresh(docs, "_copy")
-    found = mix(docs, id_col, text_col, source_col).filter("size > 0").select(F.col("doc_id").alias(name), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
-    found = found.groupBy(name).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col(name)))
+    names = [fresh(docs, f"_key{k}") for k in range(4)]
+    times, rows, least = fresh(docs, "_times"), fresh(docs, "_rows"), fresh(docs, "_least")
+    found = _mixed(docs, id_col, text_col, source_col).filter("size > 0").groupBy("doc_id", "source", "h1", "h2").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times), F.count("*").alias(rows))
+    found = materialize(found.filter(F.col(times) > 0).toDF(*names, times, rows), "times")
+    h1, h2 = text_hashes(F.col(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(names[0])) & F.col(source_col).cast("string").eqNullSafe(F.col(names[1])) & (h1 == F.col(names[2])) & (h2 == F.col(names[3]))
+    out = docs.join(found, same)
+    if not found.filter(F.col(rows) > 1).isEmpty():
+        many = out.filter(F.col(rows) > 1).groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias(least), F.first(times).alias(times)).select(f"{least}.*", times)
+        out = out.filter(F.col(rows) == 1).select(*docs.columns, times).unionByName(many)
+    copy = fresh(out, "_copy")
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

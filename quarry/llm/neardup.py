@@ -1,54 +1,53 @@
 """Exact Jaccard self-join of word-shingle sets and its connected components.
 
 Sets are equal to their fingerprint's class; classes (nodes) are joined, not documents. All tokens have one global order:
-rare ones first within the part of the hash space that is counted (CUT of it), then the others by hash, then hot ones (in
-HOT_SHARE of the documents or more). If 4 |A & B| >= 3 |A | B| and |A| >= |B|, the first |A| / 4 + 1 tokens of A and the first
-|B| / 7 + 1 tokens of B have a token in common. So nodes meet under the tokens of these prefixes; a token of one node only
-leaves no trace but its place in the order. The nodes that meet under a token are put under its least node, the hub. Under a
-hub all sets are compared in a prefix tree. A hub with very many nodes is cut into blocks; links between blocks come from a
-second pass over those nodes that the first has not linked to the hub's component, so no link between components is lost.
+those in the counted part of the hash space (CUT of it) by how many nodes hold them, rarest first, then the others by hash, then
+hot ones. If 4 |A & B| >= 3 |A | B|, the first n / 4 + 1 tokens of A and of B (n: the set's size) have a token in common. So nodes
+meet under the tokens of these prefixes; a token of one node only leaves no trace but its place in the order. Counting, placing
+and meeting are window functions over plain rows (token, node), so a task holds no more than Spark's sort does. The nodes that
+meet under a token are put under its least node, the hub, and all sets under a hub are compared in a prefix tree. A hub with very
+many tokens of sets is parted by size (similar sets differ by 4/3 at most) and then cut into blocks; links between blocks come
+from a second pass over those nodes that the first has not linked to the least node's component, so no link between components is
+lost.
 
 Hashes are 64 bits: two different shingles of one pair of texts fall together with a chance of about n * n / 2**64.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize, with_ids
+from .common import keep_rows, materialize, release, text_hashes
 from .graph import components
 from .shingles import fingerprint, in_slices, mix, shingle_sets
 from .trie import similar_groups
 
 CUT = 0.4
-HOT_SHARE, HOT_LEAST = 0.002, 64
-BATCH_TOKENS, BUCKET_TOKENS, BLOCK_TOKENS = 1_500_000, 1_000_000, 1 << 17
+#: A token is hot in that share of the nodes, or that part of all tokens: so at most MOST_HOT are broadcast, 16 bytes each.
+HOT_SHARE, HOT_LEAST, MOST_HOT = 0.002, 64, 1 << 19
+BATCH_TOKENS, BLOCK_TOKENS, MOST_BITS = 1_500_000, 1 << 17, 27
 EDGE = np.uint64(int(CUT * 2**64))
 
 
-def probe_length(n):
+def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def index_length(n):
-    return n - (6 * n + 6) // 7 + 1
-
-
 def _batches(frames, most: int):
-    """Lists of (doc_id, set) with about most tokens together."""
+    """Lists of ((doc_id, h1, h2), set) with about most tokens together."""
     batch, size = [], 0
     for frame in frames:
-        ids, texts = frame.column("doc_id").to_pylist(), frame.column("text")
-        for first, part in in_slices(texts.to_pylist()):
+        keys = list(zip(*(frame.column(c).to_pylist() for c in ("doc_id", "h1", "h2")), strict=True))
+        for first, part in in_slices(frame.column("text").to_pylist()):
             for k, own in enumerate(shingle_sets(part)):
-                batch.append((ids[first + k], own))
+                batch.append((keys[first + k], own))
                 size += len(own)
             if size >= most:
                 yield batch
@@ -57,16 +56,19 @@ def _batches(frames, most: int):
         yield batch
 
 
+NODES = "doc_id long, h1 long, h2 long, n_shingles long, node long, token long"
+
+
 def _nodes(frames):
-    """Of each document: n_shingles and node. Beside these, tokens that are frequent in a batch, with their count and least node."""
+    """Of each document: its key, n_shingles and node. Beside these, tokens that are frequent in a batch, with their count and least node."""
     for batch in _batches(frames, BATCH_TOKENS):
-        sizes = np.array([len(s) for _, s in batch], dtype=np.int64)
         nodes = [fingerprint(s) if len(s) else None for _, s in batch]
         distinct = {}
         for node, (_, own) in zip(nodes, batch, strict=True):
             if node is not None:
                 distinct.setdefault(node, own)
-        rows = {"doc_id": [i for i, _ in batch], "n_shingles": sizes.tolist(), "node": nodes, "token": [None] * len(batch)}
+        names = ["doc_id", "h1", "h2", "n_shingles", "node", "token"]
+        rows = [[k[j] for k, _ in batch] for j in range(3)] + [[len(s) for _, s in batch], nodes, [None] * len(batch)]
         if distinct:
             keys, own = np.array(list(distinct), dtype=np.int64), list(distinct.values())
             tokens = np.concatenate(own)
@@ -76,151 +78,75 @@ def _nodes(frames):
             first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             count = np.diff(np.append(first, len(tokens)))
             hot = count >= max(4, HOT_SHARE / 2 * len(keys))
-            if hot.any():
-                rows["doc_id"] += [None] * int(hot.sum())
-                rows["n_shingles"] += count[hot].tolist()
-                rows["node"] += np.minimum.reduceat(holder, first)[hot].tolist()
-                rows["token"] += tokens[first][hot].view(np.int64).tolist()
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("token", pa.int64())]))
+            for row, more in zip(rows, ([None] * int(hot.sum()),) * 3 + (count[hot].tolist(), np.minimum.reduceat(holder, first)[hot].tolist(), tokens[first][hot].view(np.int64).tolist()), strict=True):
+                row += more
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
 
-ROUTED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("at", pa.binary()), ("dict", pa.binary())])
+TOKENS = "token long, node long, n long, value long"
 
 
-def _tokens(hot, buckets: int):
-    """Emits, a batch at a time, the tokens that can lie in a prefix, dealt by token; hot: broadcast (tokens, hubs), rarest first."""
+def _tokens(hot, chosen):
+    """Emits, of each node of the task, the tokens that can lie in its prefix: token, node, n, how many of its tokens are counted.
+
+    If hot tokens get into the prefix, their hub is known: such rows have -n for n, the hub for the last value, and the node for token,
+    which only deals them out. hot: broadcast (tokens, hubs), rarest first.
+    """
 
     def run(frames):
         hot_tokens, hubs = hot.value
         by_value = np.argsort(hot_tokens)
-        sorted_hot = hot_tokens[by_value]
-        task, turn = TaskContext.get().partitionId(), 0
-        for batch in _batches(frames, int(BATCH_TOKENS / CUT)):
-            own = {}
-            for _, s in batch:
-                if len(s):
-                    own.setdefault(fingerprint(s), s)
-            yield from part(list(own.items()), sorted_hot, by_value, hubs, (task, turn := turn + 1))
-
-    def part(items, sorted_hot, by_value, hubs, place_of_batch):
-        for low in range(0, len(items), 60_000):
-            kept, at, info, edges = [], [], [], []
-            for k, (node, s) in enumerate(items[low : low + 60_000]):
-                n = len(s)
-                most = probe_length(n)
-                if len(sorted_hot):
-                    found = np.searchsorted(sorted_hot, s)
-                    found[found == len(sorted_hot)] = 0
-                    is_hot = sorted_hot[found] == s
-                    if is_hot.any():
-                        cold = s[~is_hot]
-                        if most > len(cold):
-                            place = np.sort(by_value[found[is_hot]])[: most - len(cold)]
-                            edges += [(h, node, n) for h in np.unique(hubs[place]).tolist()]
-                        s = cold
-                u = int(np.searchsorted(s, EDGE))
-                s = s[: max(u, most)]
-                info.append((node, n, u, len(s)))
-                kept.append(s)
-                at.append(np.full(len(s), k, dtype=np.uint16))
-            if not kept:
-                continue
-            tokens, at = np.concatenate(kept), np.concatenate(at)
-            to = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            tokens, at, to = tokens[order], at[order], to[order]
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            # a batch is named by its place in the input, which a retried task keeps
-            name = fingerprint(np.array([*place_of_batch, low], dtype=np.int64).view(np.uint64) + np.array([0, 1 << 40, 1 << 52], dtype=np.uint64))
-            rows = [(b, name, tokens[i:j].tobytes(), at[i:j].tobytes(), None) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            whole = np.array(info, dtype=np.int64).tobytes()
-            rows.append((name % buckets, name, b"", b"", len(info).to_bytes(8, "little") + whole + np.array(edges, dtype=np.int64).tobytes()))
-            yield pa.RecordBatch.from_pydict(dict(zip(ROUTED.names, map(list, zip(*rows, strict=True)), strict=True)), schema=ROUTED)
-
-    return run
-
-
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: the tokens that occur twice or more, with their count, back to their batches."""
-    lengths = [len(x) // 8 for x in frame["tokens"]]
-    tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]])
-    at = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in frame["at"]])
-    row = np.repeat(np.arange(len(frame)), lengths)
-    order = np.argsort(tokens, kind="stable")
-    tokens = tokens[order]
-    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, dtype=bool)
-    count = np.diff(np.append(np.flatnonzero(first), len(tokens)))
-    count = np.repeat(count, count)
-    alive = count > 1
-    order, tokens, count = order[alive], tokens[alive], np.minimum(count[alive], 2**31 - 1).astype(np.int32)
-    back = np.argsort(row[order], kind="stable")
-    order, tokens, count = order[back], tokens[back], count[back]
-    cuts = np.searchsorted(row[order], np.arange(len(frame) + 1))
-    out = [
-        (b, tokens[i:j].tobytes(), at[order[i:j]].tobytes(), count[i:j].tobytes(), d)
-        for b, d, i, j in zip(frame["batch"], frame["dict"], cuts, cuts[1:], strict=False)
-        if j > i or d is not None
-    ]
-    return pd.DataFrame(out, columns=["batch", "tokens", "at", "count", "dict"])
-
-
-def _prefixes(buckets: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of a batch: the repeated tokens in its nodes' prefixes, dealt by token, and the nodes under hot tokens' hubs."""
-        known = [x for x in frame["dict"] if x is not None][0]  # a retried task gives the same again
-        n_info = int.from_bytes(known[:8], "little")
-        numbers = np.frombuffer(known, dtype=np.int64, offset=8)
-        node, n, inside, kept = numbers[: 4 * n_info].reshape(-1, 4).T
-        edges = numbers[4 * n_info :].reshape(-1, 3)
-        tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]])
-        at = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in frame["at"]]).astype(np.int64)
-        count = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in frame["count"]])
-        outer = tokens >= EDGE
-        order = np.lexsort((tokens, np.where(outer, 0, count), outer, at))
-        tokens, at, outer = tokens[order], at[order], outer[order]
-        alive = np.bincount(at[~outer], minlength=n_info)
-        begin = np.searchsorted(at, np.arange(n_info))
-        place = np.arange(len(at)) - begin[at] + (np.minimum(inside, kept) - alive)[at]
-        keep = outer | (place < probe_length(n)[at])
-        as_index = (outer | (place < index_length(n)[at]))[keep]
-        tokens, at = tokens[keep], at[keep]
-        to = (tokens % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        tokens, at, as_index, to = tokens[order], at[order], as_index[order], to[order]
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
-        rows = [(b, tokens[i:j].tobytes(), node[at[i:j]].tobytes(), n[at[i:j]].tobytes(), as_index[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        if len(edges):
-            rows.append((int(node[0] % buckets), edges[:, 0].tobytes(), edges[:, 1].tobytes(), edges[:, 2].tobytes(), None))
-        return pd.DataFrame(rows, columns=["bucket", "tokens", "nodes", "n", "index"])
+        sorted_hot, seen = hot_tokens[by_value], set()
+        for frame in _chosen(frames, *chosen.value):
+            for _, part in in_slices(frame.column("text").to_pylist()):
+                fresh = {}
+                for s in shingle_sets(part):
+                    if len(s) and (node := fingerprint(s)) not in seen:
+                        seen.add(node)
+                        fresh[node] = s
+                if fresh:
+                    yield rows_of(np.array(list(fresh), dtype=np.int64), list(fresh.values()), sorted_hot, by_value, hubs)
+
+    def rows_of(nodes, sets, sorted_hot, by_value, hubs):
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        most = prefix_length(n)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+        direct = np.empty((3, 0), dtype=np.int64)
+        if len(sorted_hot):
+            at = np.minimum(np.searchsorted(sorted_hot, tokens), len(sorted_hot) - 1)
+            is_hot = sorted_hot[at] == tokens
+            place, holder = by_value[at[is_hot]], owner[is_hot]
+            tokens, owner = tokens[~is_hot], owner[~is_hot]
+            room = most - np.bincount(owner, minlength=len(n))  # hot tokens of the prefix: the rarest ones
+            order = np.lexsort((place, holder))
+            place, holder = place[order], holder[order]
+            rank = np.arange(len(holder)) - np.searchsorted(holder, np.arange(len(n)))[holder]
+            take = rank < room[holder]
+            direct = np.unique(np.stack([nodes[holder[take]], -n[holder[take]], hubs[place[take]]]), axis=1)
+        counted = tokens < EDGE
+        inside = np.bincount(owner[counted], minlength=len(n))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(n)))[owner]
+        keep = counted | (rank < most[owner])
+        tokens, owner = tokens[keep].view(np.int64), owner[keep]
+        columns = (np.concatenate([tokens, direct[0]]), np.concatenate([nodes[owner], direct[0]]), np.concatenate([n[owner], direct[1]]), np.concatenate([inside[owner], direct[2]]))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "value"])
 
     return run
 
 
-def _meetings(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: hub, node, n of all nodes that meet another under some token; the hub is among its nodes."""
-    found = []
-    direct = frame[frame["index"].isna()]
-    for hub, node, n in zip(direct["tokens"], direct["nodes"], direct["n"], strict=True):
-        found.append(np.stack([np.frombuffer(x, dtype=np.int64) for x in (hub, node, n)]))
-    frame = frame[~frame["index"].isna()]
-    if len(frame):
-        tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]])
-        node = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in frame["nodes"]])
-        n = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in frame["n"]])
-        index = np.concatenate([np.frombuffer(x, dtype=bool) for x in frame["index"]])
-        order = np.lexsort((node, tokens))
-        tokens, node, n, index = tokens[order], node[order], n[order], index[order]
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])))  # copies in several batches
-        tokens, node, n, index = tokens[new], node[new], n[new], index[new]
-        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        size = np.diff(np.append(first, len(tokens)))
-        # some indexed member must have a partner of like size: sizes of the members within 3/4 of one another at some place
-        good = (size > 1) & np.logical_or.reduceat(index, first)
-        pick = np.repeat(good, size)
-        hub = np.repeat(node[first], size)[pick]
-        found.append(np.stack([hub, node[pick], n[pick]]))
-    rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((3, 0), dtype=np.int64)
-    return pd.DataFrame({"hub": rows[0], "node": rows[1], "n": rows[2]})
+def meet(tokens: DataFrame) -> DataFrame:
+    """hub, node, n of the nodes that have a token in their prefix which other nodes have as well; the hub is its least node."""
+    by_token = Window.partitionBy("token").orderBy("node")
+    whole = by_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = tokens.select("*", F.min("node").over(whole).alias("hub"), F.max("node").over(whole).alias("last"), F.count("*").over(whole).alias("count"), F.lag("node").over(by_token).alias("before"))
+    # a node comes once for each task that has it
+    met = met.filter((F.col("n") < 0) | ((F.col("last") > F.col("hub")) & (F.coalesce(F.col("before") != F.col("node"), F.lit(True)))))
+    outer = (F.col("token") < 0) | (F.col("token") >= int(EDGE))
+    # the tokens of one node only come first, so the place of the others is seen from the end
+    from_end = F.row_number().over(Window.partitionBy("node").orderBy((F.col("n") < 0), outer, F.desc("count"), F.desc("token")))
+    n = F.abs("n")
+    inside = met.select("*", from_end.alias("from_end")).filter((F.col("n") < 0) | outer | (F.col("value") - F.col("from_end") < n - F.expr("(3 * n + 3) div 4") + 1))
+    return inside.select("node", F.when(F.col("n") < 0, F.col("value")).otherwise(F.col("hub")).alias("hub"), n.alias("n")).groupBy("node", "hub").agg(F.max("n").alias("n"))
 
 
 def _in_blocks(frames):
@@ -250,72 +176,76 @@ def _in_blocks(frames):
         yield links()
 
 
-def _only(bits: np.ndarray, mask: int):
-    """Rows whose doc_id may be among those that set their bits; a filter of fixed size that only saves shuffling."""
+def _place(ids: pa.Array, mask: int) -> np.ndarray:
+    return mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(mask)
 
-    def run(frames):
+
+def _chosen(frames, bits: np.ndarray, mask: int):
+    """Rows whose doc_id may be among those that set their bits; a filter of fixed size that only saves work."""
+    for frame in frames:
+        x = _place(frame.column("doc_id"), mask)
+        yield frame.filter(pa.array((bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)).astype(np.int64)) & 1 == 1))
+
+
+def _filter_of(ids: DataFrame):
+    """Broadcast (bits, mask) of the doc_ids of a one-column frame, at most 2**MOST_BITS bits."""
+    size = 1 << min(MOST_BITS, max(12, (16 * ids.count()).bit_length()))
+
+    def places(frames):
         for frame in frames:
-            ids = pc.fill_null(frame.column("doc_id"), 0).to_numpy(zero_copy_only=False)
-            x = mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(mask)
-            yield frame.filter(pa.array((bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)).astype(np.int64)) & 1 == 1))
+            yield pa.RecordBatch.from_pydict({"x": pa.array(_place(frame.column("doc_id"), size - 1).view(np.int64))})
 
-    return run
+    words = ids.mapInArrow(places, "x long").groupBy(F.shiftright("x", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("word")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast((bits, size - 1))
 
 
-def _bits(frames):
-    """The bit of each doc_id as (place, word)."""
-    for frame in frames:
-        x = mix(frame.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"x": pa.array(x.view(np.int64))})
+def _texts(chosen):
+    """node, text of the chosen rows: the node is that of the row's own text."""
 
+    def run(frames):
+        for frame in _chosen(frames, *chosen.value):
+            texts = frame.column("text").to_pylist()
+            for first, part in in_slices(texts):
+                sets = shingle_sets(part)
+                yield pa.RecordBatch.from_pydict({"node": pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), "text": pa.array(texts[first : first + len(part)], pa.string())})
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
+    return run
 
-    A-Z are folded to a-z; shingles are five words, or all words of a shorter text; two texts link at a Jaccard similarity of
-    3/4 or more, and component_id is the smallest doc_id that links reach. A null, empty or wordless text has no shingles and
-    its own component. Rows that repeat a doc_id are documents of their own with a common id, and should have one text: of several
-    texts under one id, links to others come from either. Rows of null doc_id link only with texts of an equal set. Other columns
-    are ignored.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each row doc_id, h1, h2 (of its text), n_shingles, node and comp: the least node of its component, null without shingles."""
     spark = docs.sparkSession
     ship(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = materialize(text.mapInArrow(_nodes, "doc_id long, n_shingles long, node long, token long"), "nodes")
+    both = materialize(text.select("*", *text_hashes(F.col("text"))).mapInArrow(_nodes, NODES), "nodes")
     known = both.filter("token is null").drop("token")
     count, tokens = known.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    plain = known.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     if not tokens:
-        return plain
-    # at most tokens / (HOT_SHARE * count) tokens are hot: a few hundred thousand for texts of some hundred words
-    hot = both.filter("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("count"), F.min("node").alias("hub")).filter(F.col("count") >= max(HOT_LEAST, HOT_SHARE * count)).collect()
-    hot.sort(key=lambda r: (r["count"], r["token"]))
-    sent = spark.sparkContext.broadcast((np.array([r["token"] for r in hot], dtype=np.int64).view(np.uint64), np.array([r["hub"] for r in hot], dtype=np.int64)))
-
-    buckets = max(4, round(tokens * CUT / BUCKET_TOKENS))
-    routed = text.mapInArrow(_tokens(sent, buckets), "bucket long, batch long, tokens binary, at binary, dict binary")
-    counted = routed.groupBy("bucket").applyInPandas(_repeated, "batch long, tokens binary, at binary, count binary, dict binary")
-    prefixes = counted.groupBy("batch").applyInPandas(_prefixes(buckets), "bucket long, tokens binary, nodes binary, n binary, index binary")
-    meetings = prefixes.groupBy("bucket").applyInPandas(_meetings, "hub long, node long, n long")
-    meetings = materialize(meetings.distinct(), "meetings")
-    hubs = meetings.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.max(F.col("hub") == F.col("node")).alias("inside"))
-    placed = meetings.select("hub", "node").join(hubs, "hub").withColumn("x", F.when(F.col("hub") == F.col("node"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
-    spread = placed.filter("x >= 0").select("hub", "node", "x", "blocks").unionByName(
-        hubs.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), "blocks")
-    )
-    spread = materialize(spread, "blocks")
+        return known.withColumn("comp", F.lit(None).cast("long"))
+    least = max(HOT_LEAST, HOT_SHARE * count, tokens / MOST_HOT)
+    hot = both.filter("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("count"), F.min("node").alias("hub")).filter(F.col("count") >= least).toArrow().sort_by([("count", "ascending"), ("token", "ascending")])
+    sent = spark.sparkContext.broadcast((hot.column("token").to_numpy().view(np.uint64), hot.column("hub").to_numpy()))
+    first = materialize(known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")  # min passes over nulls
+
+    meetings = materialize(meet(text.mapInArrow(_tokens(sent, _filter_of(first.select("doc_id"))), TOKENS)), "meetings")
+    # hubs with more tokens than a block holds are parted by size: similar sets are in one class or in neighbouring ones
+    sums = meetings.groupBy("hub").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
+    several = meetings.join(sums, "hub")
+    kind = F.floor(F.log("n") / math.log(4 / 3) + 1e-9)
+    large = several.filter(F.col("tokens") > BLOCK_TOKENS).select("node", "n", F.explode(F.array(F.xxhash64("hub", kind), F.xxhash64("hub", kind + 1))).alias("hub"))
+    groups = several.filter(F.col("tokens") <= BLOCK_TOKENS).select("hub", "node", "n").unionByName(large.select("hub", "node", "n"))
+    groups = materialize(groups, "groups")
+    hubs = groups.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.min("node").alias("pivot"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
+    placed = groups.select("hub", "node").join(hubs, "hub").withColumn("x", F.when(F.col("node") == F.col("pivot"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
+    pivots = placed.filter("x < 0").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = materialize(placed.filter("x >= 0").unionByName(pivots), "blocks")
 
     # texts of the nodes that meet others
-    first = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # min passes over nulls
     wanted = materialize(first.join(spread.select("node").distinct(), "node"), "wanted")
-    size = 1 << min(27, max(12, (16 * wanted.count()).bit_length()))
-    words = wanted.select("doc_id").mapInArrow(_bits, "x long").select(F.col("x").bitwiseAND(size - 1).alias("x"))
-    words = words.groupBy(F.shiftright("x", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("word")).collect()
-    bits = np.zeros(size // 64, dtype=np.int64)
-    for r in words:
-        bits[r["at"]] = r["word"]
-    texts = text.mapInArrow(_only(bits, size - 1), "doc_id long, text string").join(wanted, "doc_id").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
+    found = text.mapInArrow(_texts(_filter_of(wanted.select("doc_id"))), "node long, text string")
+    texts = materialize(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def compared(rows: DataFrame) -> DataFrame:
         full = rows.join(texts, "node").select("hub", "x", "y", "node", "text", "asks")
@@ -323,26 +253,46 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = compared(spread.select("hub", "node", "x", F.lit(0).alias("y"), F.lit(True).alias("asks")))
     comps = components(links)
-    # hubs of several blocks: nodes outside the hub's component against all blocks
-    large = spread.filter("blocks > 1").join(comps, "node", "left").select("hub", "node", "x", "blocks", F.coalesce("comp", "node").alias("comp"))
-    apart = large.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("hub") == F.col("node"), F.col("comp"))).alias("main")).filter("low < high").select("hub", "main")
-    rest = large.join(apart, "hub").filter("comp <> main").select("hub", "node", "blocks").distinct()
-    rest = materialize(rest, "rest")
+    # groups of several blocks: nodes outside the pivot's component against all blocks
+    cut = spread.filter("blocks > 1").join(comps, "node", "left").select("hub", "node", "pivot", "blocks", F.coalesce("comp", "node").alias("comp"))
+    main = cut.filter("node = pivot").select("hub", F.col("comp").alias("main")).distinct()
+    rest = materialize(cut.join(main, "hub").filter("comp <> main").select("hub", "node", "blocks").distinct(), "rest")
     if not rest.isEmpty():
-        sizes = meetings.select("hub", "node", "n").join(rest, ["hub", "node"]).groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+        sizes = groups.join(rest, ["hub", "node"]).groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
         rest = rest.join(sizes, "hub").withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
         asking = rest.select("hub", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), "y", F.lit(True).alias("asks"))
         asked = spread.join(sizes, "hub").select("hub", "node", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"), F.lit(False).alias("asks"))
         asked = asked.join(asking.select("hub", "node", "x", "y"), ["hub", "node", "x", "y"], "left_anti")
-        links = links.unionByName(compared(asking.unionByName(asked)))
-        comps = components(links)
-    of_node = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = of_node.join(least, "comp").select("node", "component_id")
-    return known.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        more = compared(asking.unionByName(asked))
+        release(comps)
+        comps = components(links.unionByName(more))
+        release(more)
+    of_node = materialize(first.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "classes")
+    release(first, meetings, groups, spread, wanted, texts, links, comps)
+    return known.join(of_node, "node", "left")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    A-Z are folded to a-z; shingles are five words, or all words of a shorter text; two texts link at a Jaccard similarity of
+    3/4 or more, and component_id is the smallest doc_id that links reach. A null, empty or wordless text has no shingles and
+    its own component. Rows are documents by their own text, whatever their ids: rows that repeat a doc_id with one text or several
+    each get the component of their text. A null doc_id is never the smallest; a component of null ids only has a null one. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    rows = materialize(_classes(docs, id_col, text_col), "rows")
+    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component."""
-    found = jaccard_classes(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return with_ids(docs, id_col, found.select("doc_id"))
+    """Of each component of jaccard_classes the row of the smallest doc_id, and all rows without shingles.
+
+    If several rows of a component have that doc_id, one stays: by hashes of the text, then the least by all columns.
+    """
+    rows = materialize(_classes(docs, id_col, text_col), "rows")
+    best = rows.filter("comp is not null").groupBy("comp", "doc_id", "h1", "h2").agg(F.count("*").alias("rows"))
+    best = best.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "rows")).alias("k")).select("k.doc_id", "k.h1", "k.h2", (F.col("k.rows") > 1).alias("once"))
+    plain = rows.filter("comp is null").select("doc_id", "h1", "h2", F.lit(False).alias("once")).distinct()
+    return keep_rows(docs, id_col, text_hashes(F.col(text_col)), best.unionByName(plain))

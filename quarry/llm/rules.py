@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, with_ids
+from .common import keep_rows, materialize, release, text_hashes
 from .textstats import FEATURES, features, text_counts
 
 BINS, MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_COVER = 32, 8, 3, 0.9, 5
@@ -110,24 +110,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, the contract's counts, base_failed, kept, rule (the first learned rule that holds, or 0).
-
-    labels: doc_id, quality (0 is to be rejected); rows with null quality or unknown doc_id count for nothing, and without labels
-    only the base rule holds. Null and empty texts fail the base rule. Rows that repeat a doc_id are judged one by one. Other
-    columns of docs are ignored.
-    """
-    counted = text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
+def _judged(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """Of each row doc_id, the hashes of its text, the counts, base_failed, rule and kept."""
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("*", *text_hashes(F.col("text")))
+    counted = text_counts(text, ["doc_id", "h1", "h2"])
     counted = materialize(counted.select("*", *[c.alias(n) for n, c in features().items()]), "counts")
     rules: list[list[Condition]] = []
     if labels is not None:
-        marked = labels.select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("label")).filter("label in (0, 1)")
+        marked = labels.select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("label")).filter("label in (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
         known = counted.join(marked, F.col("doc_id") == F.col("_id")).select(*FEATURES, F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("fold"))
-        rules = learn_rules(materialize(known, "labelled"))
+        known = materialize(known, "labelled")
+        rules = learn_rules(known)
+        release(known)
     out = counted.withColumn("base_failed", base_failed()).withColumn("rule", decision(rules))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, the contract's counts, base_failed, kept, rule (the first learned rule that holds, or 0).
+
+    labels: doc_id, quality (0 is to be rejected); rows with null quality or unknown doc_id count for nothing, of several labels of
+    one doc_id the worst counts once, and without labels only the base rule holds. Null and empty texts fail the base rule. A very
+    long text is counted whole, as one row of its words. Rows that repeat a doc_id are judged one by one, and each teaches if the
+    doc_id has a label. Of conditions with equal gain the first feature's lowest limit is taken. An empty table gives no rows.
+    Other columns of docs are ignored.
+    """
+    return _judged(docs, labels, id_col, text_col).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge keeps. Of rows with one doc_id, all stay if one does."""
-    return with_ids(docs, id_col, judge(docs, labels, id_col, text_col).filter("kept").select("doc_id"))
+    """The rows of docs that judge keeps, each by its own text; repeated rows all stay or all go."""
+    kept = _judged(docs, labels, id_col, text_col).filter("kept").select("doc_id", "h1", "h2", F.lit(False).alias("once")).distinct()
+    return keep_rows(docs, id_col, text_hashes(F.col(text_col)), kept)

@@ -36,3 +36,18 @@ def test_repeated_rows_keep_one(spark, docs_of):
 def test_empty_table(spark, docs_of):
     assert dedup.exact_dedup(docs_of([])).count() == 0
     assert dedup.drop_copies(docs_of([])).count() == 0
+
+
+def test_drop_copies_keeps_rows_not_ids(spark, docs_of):
+    """Repeated ids, repeated rows, one id under two texts, null ids: of each group of equal texts one row stays, that of the largest id."""
+    draw = random.Random(5)
+    texts = ["same text", "SAME text", "third", "THIRD", "é", "É", "", None, "x" * 40, "X" * 40]
+    rows = [(1, "same text", "", ""), (1, "same text", "", ""), (5, "third", "", ""), (9, "THIRD", "", ""), (5, "alone", "", "")]
+    rows += [(draw.choice([None, *range(12)]), draw.choice(texts), "", "") for _ in range(120)]
+    got = dedup.drop_copies(docs_of(rows), block_bytes=8).collect()
+    best = {}
+    for i, t, *_ in rows:
+        key = (t or "").translate(UP)
+        best[key] = max(best.get(key, -1), -1 if i is None else i)
+    assert sorted(((r.text or "").translate(UP), -1 if r.doc_id is None else r.doc_id) for r in got) == sorted(best.items())
+    assert all((r.doc_id, r.text) in {(i, t) for i, t, *_ in rows} for r in got)

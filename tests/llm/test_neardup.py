@@ -89,3 +89,25 @@ def test_repeated_rows_and_empty_table(spark, docs_of):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 26, 3), (3, 26, 3), (9, 27, 3)]
     assert neardup.jaccard_classes(docs_of([])).count() == 0
     assert [r.doc_id for r in neardup.drop_near_copies(docs_of([(3, long, "", ""), (9, long + " b", "", ""), (4, None, "", "")])).collect()] == [3, 4]
+
+
+def test_one_row_of_each_component_stays(spark, docs_of):
+    """Ids that repeat under several texts, repeated rows and null ids: rows stay or go by their own text."""
+    draw = random.Random(8)
+    rows = [(draw.choice([None, *range(30)]), t, la, so) for _, t, la, so in corpus(draw, 200)]
+    rows += rows[:20] + [(3, None, "", ""), (3, "", "", ""), (3, "", "", "")]
+    place = brute([(k, t) for k, (_, t, *_) in enumerate(rows)])
+    groups = {}
+    for k, n, c in place:
+        groups.setdefault(c if n else ("none", k), []).append(rows[k])
+    got = neardup.drop_near_copies(docs_of(rows)).collect()
+    low = lambda i: (i is None, i or 0)
+    least = {}
+    for c, members in groups.items():
+        least[c] = min(low(i) for i, *_ in members)
+    of_text = {rows[k][1]: c for k, n, c in place if n}
+    kept = [(of_text[r.text], low(r.doc_id)) for r in got if r.text in of_text]
+    assert sorted(kept) == sorted((c, i) for c, i in least.items() if not isinstance(c, tuple))
+    assert sum(r.text not in of_text for r in got) == sum(isinstance(c, tuple) for c in groups)
+    classes = {(r.doc_id, r.component_id) for r in neardup.jaccard_classes(docs_of(rows)).collect()}
+    assert classes == {(i, least[c][1] if not least[c][0] else None) if not isinstance(c, tuple) else (i, i) for c, members in groups.items() for i, *_ in members}
