@@ -44,6 +44,17 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(spark: SparkSession, sf: str, name: str, make):
+    """What the queries over one folder share in a session: an engine, an index."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -58,7 +69,7 @@ def values(rows: list[tuple], columns: str) -> str:
 TERMS = r"""
 raw AS (SELECT doc_id AS id, lang, unnest(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{N}_$]+')) AS tok FROM documents),
 sub AS (SELECT id, lang, tok, list_filter(regexp_extract_all(regexp_replace(tok, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '[A-Z][a-z]+|[a-z]+|[A-Z]+|\p{Nd}+'), lambda s: length(s) >= 2) AS s FROM raw),
-term AS (SELECT id, lang, unnest(CASE WHEN len(s) > 1 THEN list_concat([lower(tok)], list_transform(s, lambda x: lower(x))) ELSE [lower(tok)] END) AS term FROM sub)
+term AS MATERIALIZED (SELECT id, lang, unnest(CASE WHEN len(s) > 1 THEN list_concat([lower(tok)], list_transform(s, lambda x: lower(x))) ELSE [lower(tok)] END) AS term FROM sub)
 """
 #: Query terms of QUESTION.
 ASKED = "(VALUES ('the'), ('thing'), ('with'), ('ering'), ('oning'), ('ber_keit'), ('ber'), ('keit'), ('and'), ('than')) AS q(term)"
@@ -67,12 +78,13 @@ ASKED = "(VALUES ('the'), ('thing'), ('with'), ('ering'), ('oning'), ('ber_keit'
 def bm25_sql(where: str = "TRUE") -> str:
     return f"""{TERMS},
 scoped AS (SELECT doc_id AS id FROM documents WHERE {where}),
-tf AS (SELECT id, term, count(*) AS tf FROM term WHERE id IN (SELECT id FROM scoped) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM term WHERE id IN (SELECT id FROM scoped) GROUP BY ALL),
 len AS (SELECT s.id, coalesce(sum(tf), 0) AS n FROM scoped s LEFT JOIN tf ON tf.id = s.id GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(n) AS a FROM len),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-raw_idf AS (SELECT term, df, ln(st.n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
-idf AS (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw_idf) ELSE i END AS idf FROM raw_idf),
+raw_idf AS MATERIALIZED (SELECT term, df, ln(st.n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
+mean_idf AS MATERIALIZED (SELECT avg(i) AS m FROM raw_idf),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * m ELSE i END AS idf FROM raw_idf, mean_idf),
 bm AS (SELECT len.id, coalesce(sum(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * len.n / st.a))), 0) AS bm25
        FROM len CROSS JOIN st LEFT JOIN tf ON tf.id = len.id AND tf.term IN (SELECT term FROM {ASKED}) LEFT JOIN idf ON idf.term = tf.term GROUP BY ALL)"""
 
@@ -85,7 +97,7 @@ def tokenize_docs(spark, sf):
 
 @query(f"WITH {TERMS} SELECT term, count(DISTINCT id) AS df FROM term GROUP BY term")
 def term_df(spark, sf):
-    return lexical.term_counts(lexical.postings(docs(spark, sf)))
+    return lexical.document_frequencies(docs(spark, sf))
 
 
 @query(f"WITH {TERMS} SELECT d.doc_id AS id, count(term) AS length FROM documents d LEFT JOIN term ON term.id = d.doc_id GROUP BY ALL")
@@ -95,7 +107,17 @@ def doc_lengths(spark, sf):
 
 @query(f"WITH {bm25_sql()} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, sf):
-    return lexical.build(docs(spark, sf)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def index_of(spark, sf, where: str = "true") -> lexical.Index:
+    return held(spark, sf, f"index {where}", lambda: lexical.build(docs(spark, sf).filter(where)))
+
+
+def scored_docs(spark, sf, where: str = "true") -> DataFrame:
+    """id and bm25 of all scoped documents for QUESTION."""
+    found = lexical.score_one(index_of(spark, sf, where), QUESTION)
+    return docs(spark, sf).filter(where).select("id").join(found, "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
 def topk(scored: DataFrame, k: int = TOP) -> DataFrame:
@@ -109,20 +131,19 @@ TOPK_SQL = f"SELECT row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS rank
 
 @query(f"WITH {bm25_sql()} {TOPK_SQL}")
 def bm25_topk(spark, sf):
-    return topk(lexical.score_rows(docs(spark, sf), QUESTION).select("id", "bm25"))
+    return topk(scored_docs(spark, sf))
 
 
 @query(f"WITH {bm25_sql(chr(108) + "ang = 'de'")} {TOPK_SQL}")
 def bm25_scoped_lang(spark, sf):
     """Statistics are those of the scope."""
-    return topk(lexical.score_rows(docs(spark, sf).filter("lang = 'de'"), QUESTION).select("id", "bm25"))
+    return topk(scored_docs(spark, sf, "lang = 'de'"))
 
 
 @query(f"WITH {bm25_sql()} SELECT id, round(bm25, 4) AS bm25 FROM bm WHERE id IN (SELECT id FROM term WHERE term IN (SELECT term FROM {ASKED}))")
 def bm25_postings(spark, sf):
     """The same scores from the stored index, for any number of queries at once."""
-    index = lexical.build(docs(spark, sf))
-    return lexical.scores(index, inline(spark, [(1, QUESTION)], "query_id int, query string")).select("id", F.round("bm25", 4).alias("bm25"))
+    return lexical.scores(index_of(spark, sf), inline(spark, [(1, QUESTION)], "query_id int, query string")).select("id", F.round("bm25", 4).alias("bm25"))
 
 
 COS_SQL = f"cv AS (SELECT e.vec_id AS id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) AS cos FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q)"
@@ -150,6 +171,10 @@ def chunk_table(spark, sf) -> DataFrame:
     )
 
 
+def engine_of(spark, sf) -> Engine:
+    return held(spark, sf, "engine", lambda: Engine(chunk_table(spark, sf), Settings(dim=64)))
+
+
 HYBRID_SQL = f"""WITH {bm25_sql("doc_id IN (SELECT vec_id FROM embeddings)")}, {COS_SQL},
 b AS (SELECT bm.id, bm25, cos, row_number() OVER (ORDER BY round(cos, 9) DESC, bm.id) AS rc, row_number() OVER (ORDER BY round(bm25, 9) DESC, bm.id) AS rb, count(*) OVER () AS n FROM bm JOIN cv ON cv.id = bm.id),
 f AS (SELECT *, CASE WHEN rc <= least(n, 320) THEN 1.0 / (60 + rc) ELSE 0 END + CASE WHEN rb <= least(n, 320) THEN 1.5 / (60 + rb) ELSE 0 END AS s FROM b)
@@ -158,13 +183,13 @@ SELECT row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank, id, round(s, 4
 
 @query(HYBRID_SQL)
 def hybrid_search(spark, sf):
-    found = Engine(chunk_table(spark, sf), Settings(dim=64)).search(QUESTION, TOP, ["all"], ["all"], rerank=False, vector=question_vector(spark, sf))
+    found = engine_of(spark, sf).search(QUESTION, TOP, ["all"], ["all"], rerank=False, vector=question_vector(spark, sf))
     return found.select(F.col("rank").cast("long").alias("rank"), "id", "rrf", "cos", "bm25")
 
 
 @query(f"WITH {COS_SQL} SELECT row_number() OVER (ORDER BY round(cos, 9) DESC, id) AS rank, id, round(cos, 4) AS rrf, round(cos, 3) AS cos FROM cv WHERE id IN (SELECT doc_id FROM documents) QUALIFY rank <= {TOP}")
 def cosine_only_mode(spark, sf):
-    found = Engine(chunk_table(spark, sf), Settings(dim=64, hybrid=False)).search(QUESTION, TOP, ["all"], ["all"], rerank=False, vector=question_vector(spark, sf))
+    found = engine_of(spark, sf).with_settings(hybrid=False).search(QUESTION, TOP, ["all"], ["all"], rerank=False, vector=question_vector(spark, sf))
     return found.select(F.col("rank").cast("long").alias("rank"), "id", "rrf", "cos")
 
 
@@ -221,9 +246,8 @@ SELECT row_number() OVER (ORDER BY ce DESC, id) AS rank, id, round(ce, 6)::DOUBL
 @query(RERANK_SQL)
 def rerank_topk(spark, sf):
     """40 candidates by BM25, ten by the default reranker."""
-    scored = lexical.score_rows(docs(spark, sf), QUESTION)
-    best = fusion.leading(scored, "bm25", "first", fusion.rerank_size(10**9, 10))
-    full = models.rerank_score(scored.join(F.broadcast(best), "id"), QUESTION).select("id", "ce")
+    best = fusion.leading(scored_docs(spark, sf), "bm25", "first", fusion.rerank_size(10**9, 10)).select("id").collect()
+    full = models.rerank_score(docs(spark, sf).filter(F.col("id").isin([r["id"] for r in best])), QUESTION).select("id", "ce")
     return full.orderBy(F.desc("ce"), "id").limit(10).select(F.row_number().over(Window.orderBy(F.desc("ce"), "id")).cast("long").alias("rank"), "id", F.round("ce", 6).alias("ce"))
 
 
@@ -609,7 +633,9 @@ SELECT rrf_k, weight::DOUBLE AS weight, round(avg(hit), 6) AS hit5 FROM h GROUP
 @query(CAL_SQL)
 def fusion_calibration(spark, sf):
     """Each hundredth vector as a question against all others; relevant are those of its label."""
-    bm = lexical.score_rows(chunk_table(spark, sf).select("id", "text"), QUESTION).select("id", "bm25")
+    chunks = chunk_table(spark, sf).select("id", "text")
+    index = held(spark, sf, "index of chunks", lambda: lexical.build(chunks))
+    bm = chunks.select("id").join(lexical.score_one(index, QUESTION), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     all_rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
     asked = all_rows.filter("id % 100 = 0").orderBy("id").collect()
     parts = F.array(*[F.struct(F.lit(r["id"]).alias("case_id"), F.lit(r["label"]).alias("label"), vectors.literal(r["embedding"]).alias("v")) for r in asked])

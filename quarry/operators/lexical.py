@@ -1,30 +1,62 @@
 """BM25 over chunks: postings, statistics of a scope, scores.
 
-N, document frequencies and the mean length are those of the scoped chunks. An index holds three tables of a scope, which can be
-stored and read again; scores join query terms to postings, so only chunks with a term are touched.
+N, document frequencies and the mean length are those of the scoped chunks. An index is made in one pass over the texts: postings
+are counted once, and terms, lengths and N come from them. It is kept in the executors' memory and disks, or written as tables
+bucketed by term, of which a question reads only the buckets of its terms.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Postings of a stored bucket, about.
+BUCKET_ROWS = 2_000_000
 
 
 @dataclass
 class Index:
-    """postings: id, term, tf, length; terms: term, df, idf; n, mean_length of the scope."""
+    """postings: id, term, tf, length; terms: term, df, cf, idf; n, mean_length of the scope. A stored one has buckets (0: kept)."""
 
     postings: DataFrame
     terms: DataFrame
-    lengths: DataFrame
     n: int
     mean_length: float
+    buckets: int = 0
+
+    def release(self) -> None:
+        self.postings.unpersist()
+        self.terms.unpersist()
+
+    def save(self, path: str) -> Index:
+        """Writes the tables, statistics last: without them load doesn't see the index."""
+        spark = self.postings.sparkSession
+        buckets = max(1, self.postings.count() // BUCKET_ROWS)
+        for name, rows in (("postings", self.postings), ("terms", self.terms)):
+            dealt = rows.withColumn("bucket", bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+            dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        spark.createDataFrame([(self.n, self.mean_length, buckets)], "n long, mean_length double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        self.release()
+        return load(spark, path)
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def load(spark: SparkSession, path: str) -> Index | None:
+    """A stored index, or None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    n, mean, buckets = spark.read.parquet(f"{path}/stats").first()
+    read = lambda name, columns: spark.read.schema(f"{columns}, bucket int").parquet(f"{path}/{name}")
+    return Index(read("postings", "id long, term string, tf long, length long"), read("terms", "term string, df long, cf long, idf double"), n, mean, buckets)
 
 
 def doc_lengths(chunks: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
@@ -32,13 +64,19 @@ def doc_lengths(chunks: DataFrame, id_col: str = "id", text: Column | None = Non
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
-    """id, term, tf, length. Terms are counted inside the row, so nothing is shuffled."""
-    listed = chunks.select(F.col(id_col).alias("id"), tokens(F.col("text") if text is None else text).alias("_t"))
-    return listed.select("id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    """id, term, tf, length; ids are unique. Each text's tokens are dealt by id as one row, so terms are counted without another shuffle."""
+    listed = chunks.select(F.col(id_col).alias("id"), tokens(F.col("text") if text is None else text).alias("_t")).repartition("id")
+    return listed.select("id", F.size("_t").cast("long").alias("length"), F.explode("_t").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf")).select("id", "term", "tf", "length")
 
 
 def term_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("term").agg(F.count("*").alias("df"))
+    """term, df, cf (all occurrences)."""
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def document_frequencies(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """term, df alone: a text's distinct terms are found in its row, so one row a pair is summed and nothing else is shuffled."""
+    return chunks.select(F.explode(F.array_distinct(tokens(F.col("text") if text is None else text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(df: Column, n: int) -> Column:
@@ -47,13 +85,15 @@ def idf(df: Column, n: int) -> Column:
 
 def build(chunks: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
     """One pass for postings and one aggregation for terms; a negative idf becomes EPSILON times the mean of all."""
-    lengths = doc_lengths(chunks, id_col, text)
-    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
-    found = postings(chunks, id_col, text)
-    raw = term_counts(found).withColumn("idf", idf(F.col("df"), n))
-    floor = EPSILON * (raw.agg(F.avg("idf")).first()[0] or 0.0)
-    terms = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")))
-    return Index(found, terms, lengths, n, mean or 1.0)
+    n = chunks.count()
+    found = postings(chunks, id_col, text).persist()
+    raw = term_counts(found).withColumn("raw", idf(F.col("df"), n)).persist()
+    total, mean_idf = raw.agg(F.sum("cf"), F.avg("raw")).first()
+    floor = EPSILON * (mean_idf or 0.0)
+    terms = raw.select("term", "df", "cf", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")).persist()
+    terms.count()
+    raw.unpersist()
+    return Index(found, terms, n, (total or 0) / max(n, 1) or 1.0)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -61,35 +101,27 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _part(index: Index) -> Column:
+    tf, norm = F.col("tf"), 1 - B + B * F.col("length") / max(index.mean_length, 1e-12)
+    return F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
+
+
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, id, bm25 of chunks with a term of the query; all others have 0."""
-    wanted = query_terms(queries).join(index.terms, "term")
-    tf, norm = F.col("tf"), 1 - B + B * F.col("length") / max(index.mean_length, 1e-12)
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
-    return index.postings.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
-
-
-def score_rows(chunks: DataFrame, query: str, text: Column | None = None) -> DataFrame:
-    """chunks with bm25 for one query. The query's terms are counted in each row, and only the mean idf needs all terms, so that
-    a single question costs no shuffle of postings."""
-    spark = chunks.sparkSession
-    asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("t")).groupBy("t").count().collect()
-    if not asked:
-        return chunks.withColumn("bm25", F.lit(0.0))
-    listed = chunks.withColumn("_tokens", tokens(F.col("text") if text is None else text))
-    times = lambda word: F.size(F.filter("_tokens", lambda t: t == word))
-    counts = [times(r["t"]).alias(f"_tf{k}") for k, r in enumerate(asked)]
-    counted = listed.select("*", F.size("_tokens").alias("_length"), *counts)
-    stats = counted.agg(F.count("*"), F.avg("_length"), *[F.count_if(F.col(f"_tf{k}") > 0) for k in range(len(asked))]).first()
-    n, mean = stats[0], stats[1] or 1.0
-    idfs = spark.createDataFrame([(k, int(d)) for k, d in enumerate(stats[2:])], "k int, df long").select("k", idf(F.col("df"), n).alias("idf")).collect()
-    value = {r["k"]: r["idf"] for r in idfs}
-    if min(value.values()) < 0:
-        floor = EPSILON * (term_counts(postings(chunks, chunks.columns[0], text)).select(F.avg(idf(F.col("df"), n))).first()[0] or 0.0)
-        value = {k: (floor if v < 0 else v) for k, v in value.items()}
-    norm = 1 - B + B * F.col("_length") / max(mean, 1e-12)
-    total = F.lit(0.0)
-    for k, r in enumerate(asked):
-        tf = F.col(f"_tf{k}")
-        total = total + r["count"] * value[k] * tf * (K1 + 1) / (tf + K1 * norm)
-    return counted.withColumn("bm25", total).drop("_tokens", "_length", *[f"_tf{k}" for k in range(len(asked))])
+    wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
+    return index.postings.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(_part(index)).alias("bm25"))
+
+
+def score_one(index: Index, query: str) -> DataFrame:
+    """id, bm25 of chunks with a term of one query. Its terms are looked up first, so only their postings are read."""
+    spark = index.postings.sparkSession
+    asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times")).withColumn("bucket", bucket(F.col("term"), max(1, index.buckets))).collect()
+    words = [r["term"] for r in asked]
+
+    def some(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col("term").isin(words))
+        return rows.filter(F.col("bucket").isin(sorted({r["bucket"] for r in asked}))) if index.buckets else rows
+
+    idfs = {r["term"]: r["idf"] for r in some(index.terms).select("term", "idf").collect()} if words else {}
+    known = spark.createDataFrame([(r["term"], float(r["times"]), idfs[r["term"]]) for r in asked if r["term"] in idfs], "term string, times double, idf double")
+    return some(index.postings).join(F.broadcast(known), "term").groupBy("id").agg(F.sum(_part(index)).alias("bm25"))  # a row a word of the question

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +64,34 @@ def hits(ranked: DataFrame, reranked: bool) -> DataFrame:
 
 @dataclass
 class Engine:
-    """Search with given settings, embedder and reranker (None: the native defaults)."""
+    """Search with given settings, embedder and reranker (None: the native defaults).
+
+    Each scope has an index that is made once: kept by the session, or, with index_root, stored there for others.
+    """
 
     chunks: DataFrame
     settings: Settings = Settings()
     embed_factory: object = None
     rerank_factory: object = None
+    index_root: str | None = None
+    indexes: dict[str, lexical.Index] = field(default_factory=dict)
+
+    def index(self, types: list[str] | None, repos: list[str] | None) -> lexical.Index:
+        key = json.dumps([sorted(types or []), sorted(repos or [])])
+        if key not in self.indexes:
+            path = f"{self.index_root}/{hashlib.sha1(key.encode()).hexdigest()[:16]}" if self.index_root else None
+            made = lexical.load(self.chunks.sparkSession, path) if path else None
+            if made is None:
+                made = lexical.build(scoped(self.chunks, types, repos), "id", indexed_text(F.col("symbol"), F.col("text")))
+                made = made.save(path) if path else made
+            self.indexes[key] = made
+        return self.indexes[key]
+
+    def release(self) -> None:
+        """Forgets the kept indexes, as after a change of the chunks."""
+        for made in self.indexes.values():
+            made.release()
+        self.indexes.clear()
 
     def query_vector(self, query: str) -> list[float]:
         spark = self.chunks.sparkSession
@@ -82,12 +106,13 @@ class Engine:
         empty = lambda: hits(self.chunks.limit(0).select("*", F.lit(0).alias("rank"), *[F.lit(0.0).alias(c) for c in ("score", "cos", "bm25")]), False)
         if not (query or "").strip():
             return empty()
-        n = found.count()
+        index = self.index(types, repos)
+        n = index.n
         if not n:
             return empty()
         vector = self.query_vector(query) if vector is None else vector
-        narrow = lexical.score_rows(found.select("id", "symbol", "text", "source_type", "mtime", "embedding"), query, indexed_text(F.col("symbol"), F.col("text")))
-        narrow = narrow.select("id", "symbol", "source_type", "mtime", vectors.dot(F.col("embedding"), vectors.literal(vector)).alias("cos"), "bm25").persist()
+        narrow = found.select("id", "symbol", "source_type", "mtime", vectors.dot(F.col("embedding"), vectors.literal(vector)).alias("cos"))
+        narrow = narrow.join(lexical.score_one(index, query), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).persist()
         try:
             if self.settings.hybrid:
                 fused = fusion.fuse(narrow, n, top, query, self.settings)
