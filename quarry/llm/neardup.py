@@ -5,7 +5,7 @@ those in the counted part of the hash space (CUT of it) by how many nodes hold t
 hot ones. If 4 |A & B| >= 3 |A | B|, the first n / 4 + 1 tokens of A and of B (n: the set's size) have a token in common. So nodes
 meet under the tokens of these prefixes; a token of one node only leaves no trace but its place in the order. Counting, placing
 and meeting are window functions over plain rows (token, node), so a task holds no more than Spark's sort does. The nodes that
-meet under a token are put under its least node, the hub, and all sets under a hub are compared in a prefix tree. A hub with very
+meet under a token are put under one name, the hub, and all sets under a hub are compared in a prefix tree. A hub with very
 many tokens of sets is parted by size (similar sets differ by 4/3 at most) and then cut into blocks; links between blocks come
 from a second pass over those nodes that the first has not linked to the least node's component, so no link between components is
 lost.
@@ -20,6 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .trie import similar_groups
 CUT = 0.4
 #: A token is hot in that share of the nodes, or that part of all tokens: so at most MOST_HOT are broadcast, 16 bytes each.
 HOT_SHARE, HOT_LEAST, MOST_HOT = 0.002, 64, 1 << 19
-BATCH_TOKENS, BLOCK_TOKENS, MOST_BITS = 1_500_000, 1 << 17, 27
+BATCH_TOKENS, BLOCK_TOKENS, MOST_BITS = 1_000_000, 1 << 17, 27
 EDGE = np.uint64(int(CUT * 2**64))
 
 
@@ -40,12 +41,17 @@ def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
+def _values(column):
+    """One by one, so that a frame's texts aren't all held as Python strings."""
+    return (x.as_py() for x in column)
+
+
 def _batches(frames, most: int):
     """Lists of ((doc_id, h1, h2), set) with about most tokens together."""
     batch, size = [], 0
     for frame in frames:
         keys = list(zip(*(frame.column(c).to_pylist() for c in ("doc_id", "h1", "h2")), strict=True))
-        for first, part in in_slices(frame.column("text").to_pylist()):
+        for first, part in in_slices(_values(frame.column("text"))):
             for k, own in enumerate(shingle_sets(part)):
                 batch.append((keys[first + k], own))
                 size += len(own)
@@ -83,35 +89,40 @@ def _nodes(frames):
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
 
-TOKENS = "token long, node long, n long, value long"
+TOKENS = "token long, node long, info long, kind int"
+#: Kinds of such rows: a token of a node; what is known of a node; a hub that a node lies under.
+TOKEN, NODE, HUB = 0, 1, 2
 
 
 def _tokens(hot, chosen):
-    """Emits, of each node of the task, the tokens that can lie in its prefix: token, node, n, how many of its tokens are counted.
+    """Emits, of each distinct set of the task, the tokens that can lie in its prefix, under a number that stands for the set.
 
-    If hot tokens get into the prefix, their hub is known: such rows have -n for n, the hub for the last value, and the node for token,
-    which only deals them out. hot: broadcast (tokens, hubs), rarest first.
+    The numbers rise by 1, so that rows are small when compressed, however many partitions they are dealt to. Beside the tokens there is
+    a row of kind NODE, with the set's fingerprint for token and n << 32 | how many of its tokens are counted for info, and, if
+    hot tokens get into the prefix, rows of kind HUB, with the hub for info and a token that only deals them out. hot: broadcast
+    (tokens, hubs), rarest first.
     """
 
     def run(frames):
         hot_tokens, hubs = hot.value
         by_value = np.argsort(hot_tokens)
-        sorted_hot, seen = hot_tokens[by_value], set()
+        sorted_hot, seen, number = hot_tokens[by_value], set(), TaskContext.get().partitionId() << 32
         for frame in _chosen(frames, *chosen.value):
-            for _, part in in_slices(frame.column("text").to_pylist()):
+            for _, part in in_slices(_values(frame.column("text"))):
                 fresh = {}
                 for s in shingle_sets(part):
                     if len(s) and (node := fingerprint(s)) not in seen:
                         seen.add(node)
                         fresh[node] = s
                 if fresh:
-                    yield rows_of(np.array(list(fresh), dtype=np.int64), list(fresh.values()), sorted_hot, by_value, hubs)
+                    yield rows_of(np.array(list(fresh), dtype=np.int64), number + np.arange(len(fresh)), list(fresh.values()), sorted_hot, by_value, hubs)
+                    number += len(fresh)
 
-    def rows_of(nodes, sets, sorted_hot, by_value, hubs):
+    def rows_of(nodes, numbers, sets, sorted_hot, by_value, hubs):
         n = np.array([len(s) for s in sets], dtype=np.int64)
         most = prefix_length(n)
         tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
-        direct = np.empty((3, 0), dtype=np.int64)
+        under = np.empty((2, 0), dtype=np.int64)
         if len(sorted_hot):
             at = np.minimum(np.searchsorted(sorted_hot, tokens), len(sorted_hot) - 1)
             is_hot = sorted_hot[at] == tokens
@@ -122,31 +133,37 @@ def _tokens(hot, chosen):
             place, holder = place[order], holder[order]
             rank = np.arange(len(holder)) - np.searchsorted(holder, np.arange(len(n)))[holder]
             take = rank < room[holder]
-            direct = np.unique(np.stack([nodes[holder[take]], -n[holder[take]], hubs[place[take]]]), axis=1)
+            under = np.unique(np.stack([numbers[holder[take]], hubs[place[take]]]), axis=1)
         counted = tokens < EDGE
         inside = np.bincount(owner[counted], minlength=len(n))
         rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(n)))[owner]
         keep = counted | (rank < most[owner])
         tokens, owner = tokens[keep].view(np.int64), owner[keep]
-        columns = (np.concatenate([tokens, direct[0]]), np.concatenate([nodes[owner], direct[0]]), np.concatenate([n[owner], direct[1]]), np.concatenate([inside[owner], direct[2]]))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "value"])
+        spread = mix(under[0].view(np.uint64)).view(np.int64)
+        known = pa.concat_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(n << 32 | inside), pa.array(under[1])])
+        kind = np.repeat(np.array([TOKEN, NODE, HUB], dtype=np.int32), [len(tokens), len(n), len(spread)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([tokens, nodes, spread])), pa.array(np.concatenate([numbers[owner], numbers, under[0]])), known, pa.array(kind)], ["token", "node", "info", "kind"])
 
     return run
 
 
 def meet(tokens: DataFrame) -> DataFrame:
-    """hub, node, n of the nodes that have a token in their prefix which other nodes have as well; the hub is its least node."""
-    by_token = Window.partitionBy("token").orderBy("node")
-    whole = by_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = tokens.select("*", F.min("node").over(whole).alias("hub"), F.max("node").over(whole).alias("last"), F.count("*").over(whole).alias("count"), F.lag("node").over(by_token).alias("before"))
-    # a node comes once for each task that has it
-    met = met.filter((F.col("n") < 0) | ((F.col("last") > F.col("hub")) & (F.coalesce(F.col("before") != F.col("node"), F.lit(True)))))
+    """hub, node (fingerprint), n of the nodes that have a token in their prefix which other nodes have as well; hubs are mere names."""
+    whole = Window.partitionBy("token")
+    met = tokens.select("*", F.min("node").over(whole).alias("hub"), F.max("node").over(whole).alias("last"), F.count("*").over(whole).alias("count"))
+    met = met.filter((F.col("kind") != TOKEN) | (F.col("last") > F.col("hub"))).drop("last")
     outer = (F.col("token") < 0) | (F.col("token") >= int(EDGE))
-    # the tokens of one node only come first, so the place of the others is seen from the end
-    from_end = F.row_number().over(Window.partitionBy("node").orderBy((F.col("n") < 0), outer, F.desc("count"), F.desc("token")))
-    n = F.abs("n")
-    inside = met.select("*", from_end.alias("from_end")).filter((F.col("n") < 0) | outer | (F.col("value") - F.col("from_end") < n - F.expr("(3 * n + 3) div 4") + 1))
-    return inside.select("node", F.when(F.col("n") < 0, F.col("value")).otherwise(F.col("hub")).alias("hub"), n.alias("n")).groupBy("node", "hub").agg(F.max("n").alias("n"))
+    turn = F.when(F.col("kind") == NODE, 0).when((F.col("kind") == TOKEN) & ~outer, 1).otherwise(2)
+    # the row of the node itself comes first, then its tokens, most frequent first: those of one node only aren't here, so a token's
+    # place in the order is seen from the end of the counted ones
+    listed = Window.partitionBy("node").orderBy(turn, F.desc("count"), F.desc("token"))
+    so_far = listed.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = met.select("*", (F.row_number().over(listed) - 1).alias("from_end"), F.first("token").over(so_far).alias("print"), F.first("info").over(so_far).alias("known"), turn.alias("turn"))
+    placed = placed.withColumn("n", F.shiftright("known", 32)).withColumn("inside", F.col("known").bitwiseAND((1 << 32) - 1))
+    found = placed.filter((F.col("turn") == 2) | (F.col("turn") == 1) & (F.col("inside") - F.col("from_end") < F.col("n") - F.expr("(3 * n + 3) div 4") + 1))
+    hub = F.when(F.col("kind") == HUB, F.col("info")).otherwise(F.col("hub"))
+    own = found.select("node", hub.alias("hub"), "print", "n").distinct()  # the rows of a node are in one partition
+    return own.select("hub", F.col("print").alias("node"), "n").distinct()
 
 
 def _in_blocks(frames):
@@ -231,25 +248,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     meetings = materialize(meet(text.mapInArrow(_tokens(sent, _filter_of(first.select("doc_id"))), TOKENS)), "meetings")
     # hubs with more tokens than a block holds are parted by size: similar sets are in one class or in neighbouring ones
-    sums = meetings.groupBy("hub").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
+    # sums are written before they are joined to the rows of their hub, so that a large hub's join can be split
+    sums = materialize(meetings.groupBy("hub").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1"), "sums")
     several = meetings.join(sums, "hub")
     kind = F.floor(F.log("n") / math.log(4 / 3) + 1e-9)
     large = several.filter(F.col("tokens") > BLOCK_TOKENS).select("node", "n", F.explode(F.array(F.xxhash64("hub", kind), F.xxhash64("hub", kind + 1))).alias("hub"))
     groups = several.filter(F.col("tokens") <= BLOCK_TOKENS).select("hub", "node", "n").unionByName(large.select("hub", "node", "n"))
     groups = materialize(groups, "groups")
     hubs = groups.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.min("node").alias("pivot"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
+    hubs = materialize(hubs, "hubs")
     placed = groups.select("hub", "node").join(hubs, "hub").withColumn("x", F.when(F.col("node") == F.col("pivot"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
     pivots = placed.filter("x < 0").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = materialize(placed.filter("x >= 0").unionByName(pivots), "blocks")
 
-    # texts of the nodes that meet others
-    wanted = materialize(first.join(spread.select("node").distinct(), "node"), "wanted")
-    found = text.mapInArrow(_texts(_filter_of(wanted.select("doc_id"))), "node long, text string")
-    texts = materialize(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-
     def compared(rows: DataFrame) -> DataFrame:
+        rows = materialize(rows, "cells")
+        wanted = materialize(first.join(rows.select("node").distinct(), "node"), "wanted")
+        found = text.mapInArrow(_texts(_filter_of(wanted.select("doc_id"))), "node long, text string")
+        texts = found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         full = rows.join(texts, "node").select("hub", "x", "y", "node", "text", "asks")
-        return materialize(full.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "node").mapInArrow(_in_blocks, "a long, b long"), "links")
+        out = materialize(full.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "node").mapInArrow(_in_blocks, "a long, b long"), "links")
+        release(rows, wanted)
+        return out
 
     links = compared(spread.select("hub", "node", "x", F.lit(0).alias("y"), F.lit(True).alias("asks")))
     comps = components(links)
@@ -268,7 +288,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         comps = components(links.unionByName(more))
         release(more)
     of_node = materialize(first.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "classes")
-    release(first, meetings, groups, spread, wanted, texts, links, comps)
+    release(first, meetings, sums, hubs, groups, spread, links, comps)
     return known.join(of_node, "node", "left")
 
 
@@ -282,7 +302,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows. Other columns are ignored.
     """
     rows = materialize(_classes(docs, id_col, text_col), "rows")
-    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # of components of several rows; written before it is joined to them, so that a large one's join can be split
+    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    least = materialize(least, "least")
     return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
