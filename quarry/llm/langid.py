@@ -17,7 +17,8 @@ from .common import materialize
 from .shingles import mix
 
 ORDERS, BITS, SLICE_CHARS = (1, 2, 3, 4), 16, 1 << 18
-#: Characters of labelled text that a language's counts come from, on average at most; drawn by a hash of doc_id. The only sample.
+#: Documents and characters of labelled text that a language's counts come from, on average at most; drawn by a hash of doc_id. The only
+#: sample, a parameter of identify.
 SAMPLE_DOCS, SAMPLE_CHARS, ALPHA = 4000, 8_000_000, 0.5
 STEP = mix(np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -124,27 +125,29 @@ def _predict(model, langs: list[str]):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score (posterior of lang_pred).
 
     Learns from rows of known lang whose crc32(doc_id as text) mod 3 is not 1; held_out is that remainder being 1 (false for a null
     doc_id, which teaches nothing). A text that is null or has no letter gets und and score 0, as has every text if nothing can
-    be learned. Ties go to the language that sorts first. Rows that repeat a doc_id are scored each. Other columns are ignored.
+    be learned. The fit reads about sample_docs texts and sample_chars characters a language, whole texts, and always the one that its
+    draw puts first. Ties go to the language that sorts first. A very long text is read in slices. Rows that repeat a doc_id are scored
+    each. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
-    known = rows.filter("not held_out and lang is not null and doc_id is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.char_length("text")).alias("chars")).orderBy("lang").collect()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 1) / F.lit(float(2**63))
+    known = rows.filter("not held_out and lang is not null and doc_id is not null and text is not null").withColumn("draw", draw)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.char_length("text")).alias("chars"), F.min(F.when(F.char_length("text") > 0, F.col("draw"))).alias("first")).orderBy("lang").collect()
     langs = [r["lang"] for r in sizes]
     if not langs:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 1) / F.lit(float(2**63))
     share = F.lit(0.0)
     for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE_DOCS / r["docs"], SAMPLE_CHARS / max(1, r["chars"]))).otherwise(share)
-    sample = known.filter(draw < share).select("lang", "text")
+        share = F.when(F.col("lang") == r["lang"], max(r["first"] or 0.0, min(1.0, sample_docs / r["docs"], sample_chars / max(1, r["chars"])))).otherwise(share)
+    sample = known.filter(F.col("draw") <= share).select("lang", "text")
     cells = materialize(sample.mapInArrow(_counts(langs), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "ngrams")
     found = cells.toArrow()  # at most languages x 2**BITS cells
     counts = np.zeros(len(langs) << BITS)

@@ -86,18 +86,18 @@ def fit_ranking(rows: list, names: tuple[str, ...] = FEATURES) -> Ranking:
 def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted.
 
-    Learns from labels (doc_id, quality 0 or 1) of documents whose crc32(doc_id as text) mod 4 is not 2; the others, and rows of
-    null doc_id, are held out. Null and empty texts have the statistics of an empty text and get its score. Without labels all
-    scores are THRESHOLD. Rows that repeat a doc_id are scored one by one.
+    Learns from labels (doc_id, quality 0 or 1) of documents whose crc32(doc_id as text) mod 4 is not 2; a null doc_id teaches
+    nothing and isn't held out. Of several labels of one doc_id the worst counts, once. If more than most_rows are labelled, those of
+    the least hashes of doc_id are read. Null and empty texts have the statistics of an empty text and get its score; a very long
+    text is counted whole. A score at the cut is predicted 1, so ties fall to one side. Without labels all scores are THRESHOLD. Rows
+    that repeat a doc_id are scored one by one. An empty table gives no rows. Other columns are ignored.
     """
     counted = text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     counted = materialize(counted.select("doc_id", held.alias("held_out"), *[c.alias(n) for n, c in features().items()]), "counts")
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).filter("_q in (0, 1)")
-    train = materialize(counted.filter("not held_out").join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "_q", *FEATURES), "labelled")
-    n = train.count()
-    part = train if n <= most_rows else train.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(2**63 * (0.97 * most_rows / n)))
-    rows = part.select("_q", *FEATURES).limit(most_rows).collect()
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).filter("_q in (0, 1)").groupBy("_id").agg(F.min("_q").alias("_q"))
+    train = materialize(counted.filter("not held_out and doc_id is not null").join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "_q", *FEATURES), "labelled")
+    rows = train.orderBy(F.xxhash64("doc_id"), "doc_id", "_q", *FEATURES).limit(most_rows).select("_q", *FEATURES).collect()
     model = fit_ranking(sorted(map(tuple, rows)))
     scored = counted.select("doc_id", "held_out", model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import dedup, editcount, langid, mixing, mixlm, neardup, packing, ranking, rules, secrets
 from .common import documents
@@ -54,17 +55,81 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
-OP5_SQL = """
-WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_quality_rules that SQL can express."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_mix_sources aims at."""
+    return op4_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def token_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_context_mixing that SQL can express."""
+    return op6_context_mixing(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP5_SQL = f"""
+WITH n AS (SELECT doc_id, {LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
 
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reached.doc_id, l.y FROM reached JOIN l ON l.x = reached.r)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.r) AS component_id FROM reached r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, text, {WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+t AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t JOIN (SELECT doc_id, s FROM t GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s), (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1.0 AS weight FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS most, row_number() OVER (ORDER BY 3 * source_size / weight, source IS NULL, encode(source)) AS turn FROM s),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT min_by(level, turn) AS x FROM v WHERE level <= most / weight)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(least(most, coalesce(x, 'inf'::DOUBLE) * weight), 3) AS target FROM d JOIN v ON v.source IS NOT DISTINCT FROM d.source, x
+"""
+
+BASE_SQL = f"""
+WITH RECURSIVE k AS (SELECT i, i::BIGINT AS v, 0 AS n FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM k WHERE n < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM k WHERE n = 8),
+h AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 1 AS held_out,
+  list_append({WORDS.format(LOWER)}, chr(10)) AS w FROM documents, crc),
+t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS word FROM h),
+c AS MATERIALIZED (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+a AS (SELECT sum(c) AS n, sum(c) + 0.5 * (count(*) + 1) AS divisor FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(a.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / a.divisor)), 4) AS base_score
+FROM t LEFT JOIN c ON c.word = t.word, a GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op6_context_mixing, op7_pairwise_quality, op8_pack_sequences, op9_edited_counts, op10_secret_scan)}
+    operators = (op1_quality_rules, op2_language_id, op3_jaccard_join, op4_mix_sources, op5_exact_dedup, op6_context_mixing, op7_pairwise_quality, op8_pack_sequences, op9_edited_counts, op10_secret_scan)
+    return {f.__name__: f for f in (*operators, quality_counts, mix_targets, token_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    """The last three are of columns of operators that SQL can't express as a whole."""
+    return {"op3_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "quality_counts": COUNTS_SQL, "mix_targets": TARGETS_SQL, "token_base": BASE_SQL}

@@ -52,3 +52,29 @@ def test_held_out_accuracy_and_contract(spark, docs_of):
 def test_nothing_to_learn_from(spark, docs_of):
     assert langid.identify(docs_of([])).count() == 0
     assert [r.lang_pred for r in langid.identify(docs_of([(1, "abc", None, ""), (None, "abc", "aa", "")])).collect()] == ["und", "und"]
+
+
+def test_fit_and_posterior_equal_brute_force(spark, docs_of):
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice({"aa": "abcé ", "bb": "bcdx ", "cc": "xyzé "}[la]) for _ in range(draw.randint(1, 12))), la if i % 6 else None, "") for i, la in ((i, draw.choice(["aa", "bb", "cc"])) for i in range(150))]
+    counts, docs = {}, Counter()
+    for i, t, la, _ in rows:
+        if la and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts.setdefault(la, Counter()).update(one_by_one(t))
+            docs[la] += 1
+    size = {la: sum(c.values()) + langid.ALPHA * (1 << langid.BITS) for la, c in counts.items()}
+    for r in langid.identify(docs_of(rows)).collect():
+        t = rows[r.doc_id][1]
+        if not any(map(str.isalpha, t)):
+            continue
+        logs = {la: math.log(docs[la] / sum(docs.values())) + sum(n * math.log((counts[la][c] + langid.ALPHA) / size[la]) for c, n in one_by_one(t).items()) for la in sorted(counts)}
+        best = max(logs.values())
+        shares = {la: math.exp(x - best) for la, x in logs.items()}
+        assert math.isclose(r.score, shares[r.lang_pred] / sum(shares.values()), rel_tol=1e-4) and logs[r.lang_pred] > best - 1e-4
+
+
+def test_every_language_is_learned_from_some_text(spark, docs_of, monkeypatch):
+    """One very long text takes nearly all characters of the sample; its language and the others are learned all the same."""
+    rows = [(i, "haus und straße", "aa", "") for i in range(20)] + [(50, "und haus " * 30_000, "aa", "")] + [(100 + i, "où été maison", "bb", "") for i in range(20)]
+    got = langid.identify(docs_of(rows), sample_chars=1000).collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id < 100 else "bb") for r in got)

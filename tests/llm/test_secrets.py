@@ -1,3 +1,4 @@
+import random
 import re
 
 from quarry.llm import secrets
@@ -39,3 +40,22 @@ def test_scan(spark, docs_of):
     none = secrets.labelled_findings(spark, 0)
     assert all(not r.secret for r in secrets.scan(docs_of(rows), none).collect())
     assert secrets.scan(docs_of([])).count() == 0
+
+
+def test_scores_equal_a_walk_over_the_trees(spark, docs_of):
+    draw = random.Random(2)
+    parts = ["token = ", "commit ", 'key: "', "the ", "/usr/lib/python/site", "A1b2" * 6, "deadbeef" * 5, "enkeitlichungheitberein", '"', "\n", "EXAMPLE", "password", "==" * 9]
+    docs = docs_of([(i, " ".join(draw.choice(parts) for _ in range(12)), "", "") for i in range(60)])
+    rows = secrets.with_features(secrets.labelled_findings(spark)).select("secret", *[f"f_{n}" for n in secrets.FEATURES]).collect()
+    forest = secrets.train_forest(rows)
+    found = secrets.with_features(secrets.candidates(docs, ["doc_id"])).collect()
+
+    def walk(tree, r):
+        while tree.feature is not None:
+            tree = tree.low if r[f"f_{tree.feature}"] <= tree.limit else tree.high
+        return tree.share
+
+    want = {(r.doc_id, r["at"], r.part, r.finding): sum(walk(t, r) for t in forest) / len(forest) for r in found}
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(want) > 100 and all(abs(r.score - want[r.doc_id, r["at"], r.part, r.finding]) < 1e-6 for r in got)
+    assert all(r.secret == (r.score >= 0.5) for r in got) and {r.secret for r in got} == {True, False}
