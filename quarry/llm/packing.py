@@ -9,14 +9,16 @@ that pieces which are hard to place leave early.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .common import materialize
 from .tokens import END_ID, default_paths, encoder
 
 LENGTH, WINDOW_DOCS = 1024, 4096
@@ -71,18 +73,20 @@ def fill(lengths: list[int], room: int) -> list[list[int]]:
     return out
 
 
-def _pieces(paths: tuple[str, str], length: int):
+def _pieces(paths: tuple[str, str], length: int, windows: int):
     def run(frames):
-        encode = encoder(paths).ids
+        encode, met = encoder(paths).ids, Counter()
         for frame in frames:
             for low in range(0, frame.num_rows, 512):
                 rows = []
                 part = frame.slice(low, 512)
-                for doc, text, window in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("window").to_pylist(), strict=True):
-                    ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
+                for doc, text, hashed in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("hashed").to_pylist(), strict=True):
+                    ids = np.array([*encode(text.as_py() or ""), END_ID], dtype="<u4")
+                    again = met[doc, hashed]  # rows that repeat go to one window after another, as do a long text's pieces
+                    met[doc, hashed] += 1
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
-                        rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), window))
+                        rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), (hashed + again + start // length) % windows))
                 yield pa.RecordBatch.from_pydict(dict(zip(PIECES.names, map(list, zip(*rows, strict=True)), strict=True)), schema=PIECES)
 
     return run
@@ -93,14 +97,9 @@ def _window(room: int):
         frame = frame.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable", ignore_index=True, na_position="first")
         sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
         lengths = frame["length"].to_numpy()
-        full = lengths == room
-        sequence[full] = np.arange(full.sum())
-        rest, next_id = np.flatnonzero(~full), int(full.sum())
-        for places in fill(lengths[rest].tolist(), room):
-            at = rest[places]
-            sequence[at] = next_id
-            offset[at] = np.cumsum(lengths[at]) - lengths[at]
-            next_id += 1
+        for k, places in enumerate(fill(lengths.tolist(), room)):
+            sequence[places] = k
+            offset[places] = np.cumsum(lengths[places]) - lengths[places]
         frame["sequence_id"] = frame["window"].to_numpy() * (1 << 40) + sequence
         frame["offset"] = offset
         return frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
@@ -111,13 +110,20 @@ def _window(room: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, length: int = LENGTH, window_docs: int = WINDOW_DOCS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's tokens are its text's ids and one END_ID; a null or empty text is END_ID alone. Rows that repeat a doc_id are
-    packed each. Windows are dealt by a hash of doc_id and text, so reruns agree. An empty table gives no rows. Other columns are
-    ignored. Of a window at most the last few sequences have padding to speak of.
+    A document's tokens are its text's ids and one END_ID; a null or empty text is END_ID alone; a very long text is encoded by
+    itself and its full pieces never meet in a group. Rows that repeat a doc_id are packed each. Windows are dealt by a hash of doc_id
+    and text, so reruns agree; repeated rows go to one window after another. Pieces of one length in a window are taken by doc_id and
+    start. An empty table gives no rows. Other columns are ignored. Of a window at most the last few sequences have padding to speak of.
     """
     ship(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     windows = max(1, -(-text.count() // window_docs))
-    dealt = text.withColumn("window", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(windows)))
-    pieces = dealt.mapInArrow(_pieces(paths or default_paths(), length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long")
-    return pieces.groupBy("window").applyInPandas(_window(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = text.withColumn("hashed", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 8))
+    pieces = dealt.mapInArrow(_pieces(paths or default_paths(), length, windows), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long")
+    pieces = materialize(pieces, "pieces")
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    short = pieces.filter(F.col("length") < length).groupBy("window").applyInPandas(_window(length), columns)
+    # a full piece is a sequence of its own; these are numbered from the middle of the window's numbers on
+    nth = F.row_number().over(Window.partitionBy("window").orderBy("doc_id", "start", "ids_crc32"))
+    full = pieces.filter(F.col("length") == length).withColumn("sequence_id", F.col("window") * (1 << 40) + (1 << 39) + nth).withColumn("offset", F.lit(0).cast("long"))
+    return short.unionByName(full.select(*short.columns))

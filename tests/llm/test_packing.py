@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -66,3 +67,12 @@ def test_a_special_name_is_one_id(slow):
     from quarry.llm.tokens import encoder
 
     assert encoder(default_paths()).ids(f"a {SPECIAL} b") == slow.encode(f"a {SPECIAL} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_repeated_rows_spread_over_windows(spark, docs_of):
+    """One row half of the table: no window holds much more than its share, and long texts' pieces are dealt out too."""
+    rows = [(7, "the same words again", "", "")] * 300 + [(i, f"text number {i}", "", "") for i in range(100, 400)] + [(5000, "word " * 9000, "", "")]
+    got = packing.pack(docs_of(rows), window_docs=50).collect()
+    held = Counter(r.sequence_id >> 40 for r in got)
+    assert len(held) == 13 and max(held.values()) <= 120
+    assert len({r.sequence_id for r in got if r.length == 1024}) == sum(r.length == 1024 for r in got) == 8
