@@ -204,7 +204,7 @@ def query_identifiers(spark, sf):
 @query("SELECT doc_id AS id, CASE WHEN lower(source) IN ('src1', 'src13') THEN round(1.0 / 61, 8) ELSE 0.0 END::DOUBLE AS boost FROM documents")
 def symbol_boost(spark, sf):
     words = fusion.query_words(spark, "where is SRC1 used with src13 or abc")
-    return docs(spark, sf).select("id", F.round(fusion.symbol_boost(F.col("source"), words, Settings()), 8).alias("boost"))
+    return docs(spark, sf).select("id", F.round(fusion.boost(fusion.symbol_named(F.col("source"), words), Settings()), 8).alias("boost"))
 
 
 @query("""WITH e AS (SELECT event_id AS id, event_type, epoch(ts) AS m FROM events), x AS (SELECT max(m) AS m FROM e WHERE event_type = (SELECT min(event_type) FROM events))

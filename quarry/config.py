@@ -35,6 +35,8 @@ class Settings:
 
     home: str = "~/.quarry"
     dim: int = 384
+    model: str = ""
+    rerank_model: str = ""
     bm25_weight: float = 1.5
     rrf_k: int = 60
     recency_weight: float = 0.0
@@ -61,7 +63,7 @@ class Settings:
         home = get("HOME", "~/.quarry")
         found = load_sources(Path(expand(get("SOURCES", f"{home}/sources.yaml")))) if "RAG_SOURCES" in e or "RAG_HOME" in e else {}
         return Settings(
-            home=home, dim=int(get("DIM", "384")), bm25_weight=float(get("BM25_WEIGHT", "1.5")), recency_weight=float(get("RECENCY_WEIGHT", "0")),
+            home=home, dim=int(get("DIM", "384")), model=get("MODEL", ""), rerank_model=get("RERANK_MODEL", ""), bm25_weight=float(get("BM25_WEIGHT", "1.5")), recency_weight=float(get("RECENCY_WEIGHT", "0")),
             hybrid=get("HYBRID", "1") not in ("0", "off", "false"), rerank=_on(get("RERANK", "off")), rerank_auto=_on(get("RERANK_AUTO", "on")),
             rerank_threshold=float(get("RERANK_AUTO_THRESHOLD", "0.35")), rerank_margin=float(get("RERANK_AUTO_MARGIN", "0.08")), code_rerank=_on(get("CODE_RERANK", "off")),
             query_log=_on(get("QLOG", "off")), purpose_chunk=purpose_types(get("PURPOSE_CHUNK", "off")), card_only=names(get("CARD_ONLY", "handoffs")),

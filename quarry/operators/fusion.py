@@ -28,9 +28,13 @@ def rrf(rank_cos: Column, rank_bm25: Column, settings: Settings) -> Column:
     return one(rank_cos, 1.0) + one(rank_bm25, settings.bm25_weight)
 
 
-def symbol_boost(symbol: Column, query_words: list[str], settings: Settings) -> Column:
+def symbol_named(symbol: Column, words: list[str]) -> Column:
+    return F.coalesce(F.lower(symbol).isin(words), F.lit(False)) if words else F.lit(False)
+
+
+def boost(named: Column, settings: Settings) -> Column:
     """One first rank's worth for chunks whose symbol the query names."""
-    return F.when(F.lower(symbol).isin(query_words), 1.0 / (settings.rrf_k + 1)).otherwise(0.0) if query_words else F.lit(0.0)
+    return F.when(named, 1.0 / (settings.rrf_k + 1)).otherwise(0.0)
 
 
 def query_words(spark, query: str) -> list[str]:
@@ -44,13 +48,19 @@ def recency(source_type: Column, mtime: Column, newest: Column, settings: Settin
     return F.when((source_type == "memory") & (mtime != 0), fresh).otherwise(0.0)
 
 
+def in_windows(scored: DataFrame, n: int, top: int, query: str) -> DataFrame:
+    """scored with rank_cos, rank_bm25 (null outside of the window) and named (the query names the symbol), for rows that have one of them."""
+    width, words = window_size(n, top), query_words(scored.sparkSession, query)
+    # the windows' rows are a few times top, whatever the corpus
+    ranked = scored.join(F.broadcast(leading(scored, "cos", "rank_cos", width)), "id", "left").join(F.broadcast(leading(scored, "bm25", "rank_bm25", width)), "id", "left")
+    ranked = ranked.withColumn("named", symbol_named(F.col("symbol"), words))
+    return ranked.filter(F.col("rank_cos").isNotNull() | F.col("rank_bm25").isNotNull() | F.col("named"))
+
+
 def fuse(scored: DataFrame, n: int, top: int, query: str, settings: Settings) -> DataFrame:
     """scored (id, cos, bm25, symbol, source_type, mtime) with score, for rows in either window or with a boost."""
-    width = window_size(n, top)
-    ranked = scored.join(F.broadcast(leading(scored, "cos", "rank_cos", width)), "id", "left").join(F.broadcast(leading(scored, "bm25", "rank_bm25", width)), "id", "left")
-    score = rrf(F.col("rank_cos"), F.col("rank_bm25"), settings)
-    boost = symbol_boost(F.col("symbol"), query_words(scored.sparkSession, query), settings)
-    found = ranked.withColumn("score", score + boost).filter((F.col("rank_cos").isNotNull()) | (F.col("rank_bm25").isNotNull()) | (boost > 0))
+    found = in_windows(scored, n, top, query)
+    found = found.withColumn("score", rrf(F.col("rank_cos"), F.col("rank_bm25"), settings) + boost(F.col("named"), settings))
     if settings.recency_weight > 0:
         newest = found.filter(F.col("source_type") == "memory").agg(F.max("mtime")).first()[0]
         if newest:

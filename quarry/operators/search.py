@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import vectors
+from ..functions import paths, vectors
 from ..functions.text import indexed_text
+from ..plans.store import Store
 from . import fusion, lexical, models
 
 
@@ -75,17 +77,46 @@ class Engine:
     rerank_factory: object = None
     index_root: str | None = None
     indexes: dict[str, lexical.Index] = field(default_factory=dict)
+    store: Store | None = None
+    stamp: int | None = None
+    lock: object = field(default_factory=threading.RLock, repr=False, compare=False)
+
+    @staticmethod
+    def of_store(store: Store, settings: Settings) -> Engine:
+        """An engine over the store's newest snapshot, with the models that the settings name."""
+        engine = Engine(store.read(), settings, models.named("embed", settings.model), models.named("rerank", settings.rerank_model), store=store)
+        engine.follow()
+        return engine
+
+    def follow(self) -> None:
+        """Takes up a newer snapshot of the store; what was kept of the old one goes."""
+        if self.store is not None and (now := self.store.current()) != self.stamp:
+            with self.lock:
+                self.release()
+                self.chunks, self.index_root, self.stamp = self.store.read(), self.store.index_root(), now
+
+    def warm(self) -> None:
+        """Makes what the first question would wait for: the indexes of the usual scopes, and the models on the workers."""
+        self.follow()
+        own = scopes(None, None, self.settings)
+        for types, repos in (own, (list(self.settings.knowledge_scope), None)):
+            self.index(types, repos)
+        self.query_vector("warm")
+        if self.settings.code_rerank:
+            models.rerank_score(self.chunks.sparkSession.range(1).select(F.lit("warm").alias("text")), "warm", self.rerank_factory).collect()
 
     def index(self, types: list[str] | None, repos: list[str] | None) -> lexical.Index:
+        """That of a scope; a caller that comes while it is made waits for it."""
         key = json.dumps([sorted(types or []), sorted(repos or [])])
-        if key not in self.indexes:
-            path = f"{self.index_root}/{hashlib.sha1(key.encode()).hexdigest()[:16]}" if self.index_root else None
-            made = lexical.load(self.chunks.sparkSession, path) if path else None
-            if made is None:
-                made = lexical.build(scoped(self.chunks, types, repos), "id", indexed_text(F.col("symbol"), F.col("text")))
-                made = made.save(path) if path else made
-            self.indexes[key] = made
-        return self.indexes[key]
+        with self.lock:
+            if key not in self.indexes:
+                path = f"{self.index_root}/{hashlib.sha1(key.encode()).hexdigest()[:16]}" if self.index_root else None
+                made = lexical.load(self.chunks.sparkSession, path) if path else None
+                if made is None:
+                    made = lexical.build(scoped(self.chunks, types, repos), "id", indexed_text(F.col("symbol"), F.col("text")))
+                    made = made.save(path) if path else made
+                self.indexes[key] = made
+            return self.indexes[key]
 
     def release(self) -> None:
         """Forgets the kept indexes, as after a change of the chunks."""
@@ -98,8 +129,22 @@ class Engine:
         row = models.embed(spark.range(1).select(F.lit(query).alias("q")), F.col("q"), self.embed_factory, self.settings.dim, "query").first()
         return list(row["embedding"])
 
+    def _scored(self, found: DataFrame, index: lexical.Index, query: str, vector) -> DataFrame:
+        """id, symbol, source_type, mtime, path, cos, bm25 of the scoped chunks."""
+        cos = found.select("id", "symbol", "source_type", "mtime", "path", vectors.dot(F.col("embedding"), vectors.literal(vector)).alias("cos"))
+        return cos.join(lexical.score_one(index, query), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+    def ranks(self, query: str, top: int, scope_types=None, scope_repos=None) -> DataFrame:
+        """id, path, rank_cos, rank_bm25, named of what fusion chooses from, before it weighs anything."""
+        self.follow()
+        types, repos = scopes(scope_types, scope_repos, self.settings)
+        index = self.index(types, repos)
+        found = fusion.in_windows(self._scored(scoped(self.chunks, types, repos), index, query, self.query_vector(query)), index.n, top, query)
+        return found.select("id", "path", "rank_cos", "rank_bm25", "named")
+
     def search(self, query: str, top: int = 5, scope_types=None, scope_repos=None, cwd: str | None = None, rerank: bool | None = None, vector=None) -> DataFrame:
         """Hits, best first. Scores come first, from the columns they need; texts are fetched for the best only."""
+        self.follow()
         spark = self.chunks.sparkSession
         types, repos = scopes(scope_types, scope_repos, self.settings, cwd)
         found = scoped(self.chunks, types, repos)
@@ -111,8 +156,7 @@ class Engine:
         if not n:
             return empty()
         vector = self.query_vector(query) if vector is None else vector
-        narrow = found.select("id", "symbol", "source_type", "mtime", vectors.dot(F.col("embedding"), vectors.literal(vector)).alias("cos"))
-        narrow = narrow.join(lexical.score_one(index, query), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).persist()
+        narrow = self._scored(found, index, query, vector).persist()
         try:
             if self.settings.hybrid:
                 fused = fusion.fuse(narrow, n, top, query, self.settings)
@@ -142,7 +186,7 @@ class Engine:
 
     def recall(self, prompt: str, threshold: float = 0.55) -> DataFrame:
         """Automatic recall: two hits at most, of cosine threshold or more, 300 characters each."""
-        fits = 15 <= len(prompt) <= 2000 and not prompt.lstrip().startswith("<task-notification")
+        fits = self.chunks.sparkSession.range(1).select(paths.prompt_fits(F.lit(prompt))).first()[0]
         found = self.search(prompt if fits else "", 2, rerank=False)
         return found.filter(F.col("cos") >= threshold).withColumn("text", F.left("text", F.lit(300)))
 

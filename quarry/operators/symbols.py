@@ -5,9 +5,10 @@ from __future__ import annotations
 import ast
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import CALLS, DEFINITIONS, IMPORTS
 from ..ship import ship
 from .chunking import NAME, closing_line, line_of
 
@@ -112,7 +113,7 @@ def extracted(files: DataFrame, text: Column, language: Column) -> DataFrame:
 
 def _first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with one key the first, as an insert that ignores conflicts would keep."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_n = 1").drop("_n")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min_by(F.struct(*rows.columns), F.struct(order, *[c for c in rows.columns if c != order])).alias("_row")).select("_row.*")
 
 
 def tables(found: DataFrame, path: str = "path") -> dict[str, DataFrame]:
@@ -143,3 +144,41 @@ def replace_files(old: DataFrame, new: DataFrame, files: DataFrame, column: str
     """A table in which the rows of files are those of new."""
     gone = files.select(F.col("file").alias("_f")).distinct()
     return old.join(gone, F.col(column) == F.col("_f"), "left_anti").unionByName(new)
+
+
+#: Stored tables by name: schema, and the column that names the file.
+STORED = {"definitions": (DEFINITIONS, "file"), "imports": (IMPORTS, "importing_file"), "calls": (CALLS, "file")}
+
+
+class SymbolStore:
+    """The call graph's tables in a folder. A table is written beside the old one and then takes its place."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def read(self, name: str) -> DataFrame:
+        where = f"{self.root}/{name}"
+        return self.spark.read.schema(STORED[name][0]).parquet(where) if self.fs.exists(self.path(where)) else self.spark.createDataFrame([], STORED[name][0])
+
+    def _write(self, name: str, rows: DataFrame) -> int:
+        where, new = self.path(f"{self.root}/{name}"), self.path(f"{self.root}/_new-{name}")
+        rows.write.mode("overwrite").parquet(new.toString())
+        self.fs.delete(where, True)
+        self.fs.rename(new, where)
+        return self.read(name).count()
+
+    def rebuild(self, made: dict[str, DataFrame]) -> dict[str, int]:
+        """All tables anew; their counts of rows."""
+        return {name: self._write(name, made[name]) for name in STORED}
+
+    def replace(self, made: dict[str, DataFrame], files: DataFrame) -> dict[str, int]:
+        """The rows of some files anew; all others stay."""
+        return {name: self._write(name, replace_files(self.read(name), made[name], files, column)) for name, (_, column) in STORED.items()}
+
+    def views(self) -> None:
+        """Temporary views symbols_definitions, _imports, _calls_to and, over the last, symbols_called_by: nothing is copied."""
+        for name, view in (("definitions", "definitions"), ("imports", "imports"), ("calls", "calls_to")):
+            self.read(name).createOrReplaceTempView(f"symbols_{view}")
+        self.spark.table("symbols_calls_to").select("callee", "caller", "file", "line_in_caller").createOrReplaceTempView("symbols_called_by")

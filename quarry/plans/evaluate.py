@@ -64,10 +64,18 @@ def decisions(runs: DataFrame) -> DataFrame:
     return runs.withColumn("verdict", F.when(safe & gain, "KEEP").otherwise("REVERT"))
 
 
+#: Expected parts that are matched with paths at once.
+LABELS_AT_ONCE = 1000
+
+
 def stale_labels(cases: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Cases (case_id, expect) of which no expected part is in any indexed path."""
-    asked = cases.select("case_id", F.explode("expect").alias("_e")).distinct()
-    met = indexed.select("path").distinct().join(F.broadcast(asked), F.col("path").contains(F.col("_e"))).select("case_id").distinct()
+    """Cases (case_id, expect) of which no expected part is in any indexed path. Labels, written by hand, are matched in blocks."""
+    parts = sorted(r[0] for r in cases.select(F.explode("expect").alias("_e")).distinct().collect())
+    known, found = indexed.select("path").distinct(), []
+    for low in range(0, len(parts), LABELS_AT_ONCE):
+        block = F.array(*[F.lit(x) for x in parts[low : low + LABELS_AT_ONCE]])
+        found += [r[0] for r in known.select(F.explode(F.filter(block, lambda e: F.col("path").contains(e))).alias("_e")).distinct().collect()]
+    met = cases.select("case_id", F.explode("expect").alias("_e")).filter(F.col("_e").isin(found)).select("case_id").distinct()
     return cases.join(met, "case_id", "left_anti")
 
 
@@ -88,23 +96,14 @@ def imperative(cases: DataFrame) -> DataFrame:
 def calibration(ranked: DataFrame, top: int = 5) -> DataFrame:
     """rrf_k, weight, hit5: shares of cases whose relevant row is in the top after fusion, for one factor at a time.
 
-    ranked: case_id, id, rank_cos, rank_bm25, relevant. The few settings are an array that each row is exploded by: one job.
+    ranked: case_id, id, rank_cos, rank_bm25, relevant and, if known, named (gets the symbol boost). The few settings are an array that
+    each row is exploded by: one job.
     """
     grid = [(k, 1.5) for k in RRF_KS] + [(60, w) for w in WEIGHTS if w != 1.5]
     settings = F.explode(F.array(*[F.struct(F.lit(k).alias("rrf_k"), F.lit(w).alias("weight")) for k, w in grid]))
-    each = ranked.withColumn("_s", settings).select("case_id", "id", "relevant", "_s.rrf_k", "_s.weight", "rank_cos", "rank_bm25")
-    each = each.withColumn("score", F.round(F.coalesce(1.0 / (F.col("rrf_k") + F.col("rank_cos")), F.lit(0.0)) + F.coalesce(F.col("weight") / (F.col("rrf_k") + F.col("rank_bm25")), F.lit(0.0)), 12))
+    named = F.col("named") if "named" in ranked.columns else F.lit(False)
+    each = ranked.withColumn("_s", settings).select("case_id", "id", "relevant", "_s.rrf_k", "_s.weight", "rank_cos", "rank_bm25", named.alias("named"))
+    each = each.withColumn("score", F.round(F.when(F.col("named"), 1.0 / (F.col("rrf_k") + 1)).otherwise(0.0) + F.coalesce(1.0 / (F.col("rrf_k") + F.col("rank_cos")), F.lit(0.0)) + F.coalesce(F.col("weight") / (F.col("rrf_k") + F.col("rank_bm25")), F.lit(0.0)), 12))
     place = F.row_number().over(Window.partitionBy("rrf_k", "weight", "case_id").orderBy(F.desc("score"), "id"))
     hit = each.withColumn("place", place).groupBy("rrf_k", "weight", "case_id").agg(F.max(F.when(F.col("relevant") & (F.col("place") <= top), 1.0).otherwise(0.0)).alias("hit"))
     return hit.groupBy("rrf_k", "weight").agg(F.round(F.avg("hit"), 6).alias("hit5"))
-
-
-LEDGER_HEAD = "| label | target | mem h@5 | overall (train) | holdout h@5 | code h@5 | mem Δ | target Δ | verdict | when |\n|---|---|---|---|---|---|---|---|---|---|\n"
-
-
-def ledger_row(label: str, target: str, now: dict, base: dict | None, when: str, is_baseline: bool = False) -> str:
-    verdict, deltas = decide(now, base, target, is_baseline)
-    share = lambda v: "—" if v is None else f"{v:.3f}"
-    point = lambda v: "—" if v is None else f"{v * 100:+.1f}pp"
-    cells = [label, target, *[share(now.get(k)) for k in ("memory", "overall_train", "holdout", "code")], point(deltas["mem_delta"]), point(deltas["target_delta"]), verdict, when]
-    return "| " + " | ".join(cells) + " |\n"

@@ -48,6 +48,11 @@ class Store:
         self.retain()
         return v
 
+    def index_root(self) -> str | None:
+        """Where indexes of the current snapshot are kept; they go with it."""
+        v = self.current()
+        return None if v is None else f"{self.root}/_INDEX/{v}"
+
     def retain(self) -> list[int]:
         """Deletes all but the newest keep snapshots."""
         marks = self._numbers("_CURRENT", "")
@@ -55,6 +60,7 @@ class Store:
         for v in old:
             self.fs.delete(self.path(f"{self.root}/_CURRENT/{v}"), True)
             self.fs.delete(self.path(f"{self.root}/v={v}"), True)
+            self.fs.delete(self.path(f"{self.root}/_INDEX/{v}"), True)
         return old
 
     def check(self) -> bool:
@@ -105,22 +111,3 @@ def upserted(base: DataFrame, paths: DataFrame, new: DataFrame) -> DataFrame:
 
 def sliced(base: DataFrame, source_type: str, new: DataFrame) -> DataFrame:
     return base.filter(F.col("source_type") != source_type).unionByName(with_ids(new).select(*base.columns))
-
-
-class Cache:
-    """Persisted scopes of the store; any new snapshot empties it."""
-
-    def __init__(self, store: Store):
-        self.store, self.stamp, self.kept = store, None, {}
-
-    def get(self, types: list[str] | None, repos: list[str] | None) -> DataFrame:
-        from ..operators.search import scoped
-
-        if self.stamp != (now := self.store.current()):
-            for df in self.kept.values():
-                df.unpersist()
-            self.kept, self.stamp = {}, now
-        key = (tuple(sorted(types or ())), tuple(sorted(repos or ())))
-        if key not in self.kept:
-            self.kept[key] = scoped(self.store.read(), types, repos).persist()
-        return self.kept[key]

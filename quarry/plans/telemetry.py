@@ -25,6 +25,13 @@ def log_query(spark: SparkSession, path: str, hits: list, query: str, types, rep
         return False
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The query log; empty before the first logged query."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(QUERIES).parquet(path) if there else spark.createDataFrame([], QUERIES)
+
+
 def recent(queries: DataFrame, now: float, days: int = DAYS) -> DataFrame:
     return queries.filter(F.col("ts") >= now - days * 86400)
 

@@ -4,41 +4,49 @@ from __future__ import annotations
 
 import json
 import sys
+import threading
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import TextIO
 
+from pyspark.sql import DataFrame
+
 from .operators.search import Engine
 
 NO_METHOD, FAILED = -32601, -32000
-SNIPPET = 500
-TOOLS = [
-    {
-        "name": "rag_query",
-        "description": "Search all indexed chunks.",
-        "inputSchema": {
-            "type": "object",
-            "properties": {
-                "query": {"type": "string"},
-                "top": {"type": "integer", "default": 5, "minimum": 1, "maximum": 20},
-                "scope_types": {"type": "array", "items": {"type": "string"}, "description": "types of chunks"},
-                "scope_repos": {"type": "array", "items": {"type": "string"}, "description": "names of repos, or ['all'] for no scope by folder"},
-                "cwd": {"type": "string", "description": "folder that decides the repo"},
-            },
-            "required": ["query"],
-        },
-    },
-    {
-        "name": "search_knowledge",
-        "description": "Search notes, standards, plans and decisions.",
-        "inputSchema": {"type": "object", "properties": {"query": {"type": "string"}, "top": {"type": "integer", "default": 5, "minimum": 1, "maximum": 20}}, "required": ["query"]},
-    },
-]
-
-
-def clamp(value, default: int = 5, low: int = 1, high: int = 20) -> int:
+SNIPPET, LEAST_TOP, MOST_TOP, USUAL_TOP = 500, 1, 20, 5
+TEXT, TEXTS = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
+
+
+@dataclass(frozen=True)
+class Tool:
+    """A tool: what clients are told of it, and the search that it makes of the arguments."""
+
+    description: str
+    search: Callable[[Engine, str, int, dict], DataFrame]
+    options: dict = field(default_factory=dict)
+
+    def listing(self, name: str) -> dict:
+        top = {"type": "integer", "default": USUAL_TOP, "minimum": LEAST_TOP, "maximum": MOST_TOP}
+        return {"name": name, "description": self.description, "inputSchema": {"type": "object", "properties": {"query": TEXT, "top": top} | self.options, "required": ["query"]}}
+
+
+#: Names of tools and of their arguments are a fixed interface.
+TOOLS = {
+    "rag_query": Tool(
+        "Search all indexed chunks.",
+        lambda engine, query, top, a: engine.search(query, top, a.get("scope_types"), a.get("scope_repos"), a.get("cwd"), bool(a.get("rerank", True))),
+        {"scope_types": TEXTS, "scope_repos": TEXTS | {"description": "['all']: whatever the folder"}, "cwd": TEXT | {"description": "folder that decides the repo"}},
+    ),
+    "search_knowledge": Tool("Search notes, standards, plans and decisions.", lambda engine, query, top, _: engine.knowledge(query, top)),
+}
+
+
+def clamp(value) -> int:
     try:
-        return max(low, min(high, int(value)))
+        return sorted((LEAST_TOP, int(value), MOST_TOP))[1]
     except (TypeError, ValueError):
-        return default
+        return USUAL_TOP
 
 
 def render(hits: list, size: int = SNIPPET, dots: bool = False) -> str:
@@ -53,33 +61,52 @@ def render(hits: list, size: int = SNIPPET, dots: bool = False) -> str:
     return "\n".join(out)
 
 
-def answer(engine: Engine, message: dict) -> dict | None:
-    """The response to one request; None for notifications."""
-    made = {"jsonrpc": "2.0", "id": message.get("id")}
-    method, params = message.get("method"), message.get("params") or {}
-    if method == "initialize":
-        return made | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "quarry", "version": "1"}}}
-    if method == "notifications/initialized":
-        return None
-    if method == "tools/list":
-        return made | {"result": {"tools": TOOLS}}
-    if method != "tools/call":
-        return None if message.get("id") is None else made | {"error": {"code": NO_METHOD, "message": f"no method {method}"}}
-    a, name = params.get("arguments") or {}, params.get("name")
+def _initialize(engine: Engine, params: dict) -> dict:
+    return {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "quarry", "version": "1"}}}
+
+
+def _call(engine: Engine, params: dict) -> dict:
+    """A missing query is a blank one, which finds nothing."""
+    tool, given = TOOLS.get(params.get("name")), params.get("arguments") or {}
+    if tool is None:
+        return {"error": {"code": NO_METHOD, "message": f"no tool {params.get('name')}"}}
     try:
-        if name == "search_knowledge":
-            found = engine.knowledge(a["query"], clamp(a.get("top")))
-        elif name == "rag_query":
-            found = engine.search(a["query"], clamp(a.get("top")), a.get("scope_types"), a.get("scope_repos"), a.get("cwd"), a.get("rerank", True))
-        else:
-            return made | {"error": {"code": NO_METHOD, "message": f"no tool {name}"}}
-        return made | {"result": {"content": [{"type": "text", "text": render(found.collect())}]}}
+        found = tool.search(engine, given.get("query") or "", clamp(given.get("top")), given).collect()
     except Exception as e:
-        return made | {"error": {"code": FAILED, "message": str(e).splitlines()[0] if str(e) else type(e).__name__}}
+        return {"error": {"code": FAILED, "message": (str(e) or type(e).__name__).splitlines()[0]}}
+    return {"result": {"content": [{"type": "text", "text": render(found)}], "isError": False}}
+
+
+METHODS = {"initialize": _initialize, "tools/list": lambda engine, params: {"result": {"tools": [t.listing(n) for n, t in TOOLS.items()]}}, "tools/call": _call}
+
+
+def answer(engine: Engine, message: dict) -> dict | None:
+    """The response to one request; None for what has no id and no method of ours."""
+    method, number = message.get("method"), message.get("id")
+    if method in METHODS:
+        return {"jsonrpc": "2.0", "id": number} | METHODS[method](engine, message.get("params") or {})
+    if number is None or method == "notifications/initialized":
+        return None
+    return {"jsonrpc": "2.0", "id": number, "error": {"code": NO_METHOD, "message": f"no method {method}"}}
+
+
+def prewarm(engine: Engine, log: TextIO = sys.stderr) -> threading.Thread:
+    """Makes indexes and loads models beside the first requests; a question that needs them waits. If it fails, questions make them."""
+
+    def run() -> None:
+        try:
+            engine.warm()
+            print("warm", file=log)
+        except Exception as e:
+            print(f"not warm: {e}".splitlines()[0], file=log)
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    return thread
 
 
 def serve(engine: Engine, source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
-    """One request a line; lines that aren't JSON objects are passed over."""
+    """One request a line; lines that aren't JSON objects are passed over. A response is flushed at once."""
     for line in source:
         try:
             message = json.loads(line)

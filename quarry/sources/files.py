@@ -5,13 +5,16 @@ from __future__ import annotations
 import glob
 import os
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import paths
 from ..functions import text as T
+from ..ship import ship
 
 LOG_DAYS, LOG_SECONDS, COMMIT_LINES, BODY_CHARS, COMMIT_CHARS = 180, 30, 6, 1200, 4000
 SKIPPED_SESSIONS = ("acompact-", "agent-acompact-")
@@ -37,8 +40,9 @@ def graphed_repos(settings: Settings) -> list[str]:
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of rows with one key the first in order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    """Of rows with one key the first in order: a least row is kept a key, and no key's rows are gathered."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*")
 
 
 def note_files(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
@@ -48,14 +52,42 @@ def note_files(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame
     return found.filter(~paths.is_quarantined(F.col("path"))).select("source_type", "path")
 
 
+CONTENTS, READ_BYTES = "path string, content binary, mtime double", 16 << 20
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Some files at a time, as many as READ_BYTES hold."""
+    rows, size = [], 0
+    for frame in frames:
+        for path in frame["path"]:
+            try:
+                with open(path, "rb") as f:
+                    rows.append((path, f.read(), os.stat(path).st_mtime))
+                size += len(rows[-1][1])
+            except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
+                continue
+            except OSError:
+                rows.append((path, None, None))
+            if size >= READ_BYTES:
+                yield pd.DataFrame(rows, columns=["path", "content", "mtime"])
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["path", "content", "mtime"])
+
+
+def read_contents(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """path, content (null if unreadable), mtime of the listed files that are there, read by the executors; no list passes the driver.
+
+    Files are on a file system that all executors mount, as the index's own paths are.
+    """
+    ship(spark)
+    return listed.select("path").mapInPandas(_read, CONTENTS)
+
+
 def read_texts(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """listed (source_type, path) with text, file_sha and mtime. Files are read by the executors; unreadable bytes are replaced."""
-    places = [r["path"] for r in listed.select("path").distinct().collect()]
-    if not places:
-        return listed.select("source_type", "path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("file_sha"), F.lit(None).cast("double").alias("mtime")).limit(0)
-    raw = spark.read.format("binaryFile").load([f"file://{p}" for p in places])
-    raw = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content"), F.unix_micros("modificationTime").alias("_t"))
-    read = raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha1("content").alias("file_sha"), (F.col("_t") / 1e6).alias("mtime"))
+    """listed (source_type, path) with text, file_sha and mtime; unreadable bytes are replaced, unreadable files left out."""
+    found = read_contents(spark, listed.select("path").distinct()).filter("content is not null")
+    read = found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha1("content").alias("file_sha"), "mtime")
     return listed.join(read, "path")
 
 

@@ -28,8 +28,8 @@ def as_files(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def reindex(store: Store, files: DataFrame, settings: Settings, embed_factory=None) -> int:
-    """Purges the files' chunks and adds new ones; quarantined files are purged only. A file that comes twice counts once."""
-    latest = files.orderBy(F.desc("mtime")).dropDuplicates(["path"])
+    """Purges the files' chunks and adds new ones; quarantined files are purged only. Of a file that comes twice the newer one counts."""
+    latest = files.groupBy("path").agg(F.max_by(F.struct(*files.columns), "mtime").alias("f")).select("f.*")
     new = chunking.chunk_files(latest.filter(~paths.is_quarantined(F.col("path"))), settings)
     new = models.embed(new, F.col("embed_text"), embed_factory, settings.dim).drop("embed_text", "chunk_no")
     return store.upsert(latest.select("path"), new)
@@ -71,7 +71,7 @@ def refresh(store: Store, folder: str, settings: Settings, embed_factory=None) -
         changed.unpersist()
 
 
-def drifted(store: Store, files: DataFrame, hours_since: float, settings: Settings) -> DataFrame | None:
+def drifted(store: Store, files: DataFrame, hours_since: float) -> DataFrame | None:
     """Of files those newer than or missing in the store, DRIFT_MOST at most; None if they are few or the last look was lately."""
     if hours_since < DRIFT_HOURS:
         return None
