@@ -230,8 +230,7 @@ def rerank_decision(spark, sf):
     scored = each.select("q.query_id", vectors.dot(F.col("embedding"), F.col("q.v")).alias("cos"))
     two = scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos")))).filter("k <= 2")
     best = two.groupBy("query_id").agg(F.max("cos").alias("a"), F.min("cos").alias("b"))
-    s = Settings()
-    return best.select("query_id", F.round("a", 6).alias("top1"), F.round(F.col("a") - F.col("b"), 6).alias("margin"), ((F.col("a") < s.rerank_threshold) | (F.col("a") - F.col("b") < s.rerank_margin)).alias("rerank"))
+    return best.select("query_id", F.round("a", 6).alias("top1"), F.round(F.col("a") - F.col("b"), 6).alias("margin"), fusion.wants_rerank(F.col("a"), F.col("b"), None, Settings()).alias("rerank"))
 
 
 RERANK_SQL = f"""WITH {bm25_sql()},
@@ -377,14 +376,6 @@ def purge_anti(spark, sf):
     return store.purged(small_chunks(spark, sf), gone).select("path")
 
 
-LOGS = [("app", "0123456789abcdef\x012024-01-01\x01someone\x01Fix parser\x01line one\n\nline two\n"), ("app", "fedcba9876543210\x012024-01-02\x01other\x01Only subject\x01"), ("lib", "aaaabbbbccccdddd\x01d\x01n\x01Many\x01" + "\n".join(f"l{i}" for i in range(9)))]
-
-
-@query("SELECT * FROM " + values([("app", "0123456", "git:app@0123456789abcdef", "Fix parser\n\nline one\nline two"), ("app", "fedcba9", "git:app@fedcba9876543210", "Only subject"), ("lib", "aaaabbb", "git:lib@aaaabbbbccccdddd", "Many\n\nl0\nl1\nl2\nl3\nl4\nl5")], "repo, symbol, path, text"))
-def commit_chunks(spark, sf):
-    return src.commit_chunks(inline(spark, LOGS, "repo string, entry string")).select("repo", "symbol", "path", "text")
-
-
 @query("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
 def transcript_text(spark, sf):
     """Each message as a transcript line with one text block, and its text read from that."""
@@ -393,76 +384,11 @@ def transcript_text(spark, sf):
     return rows.select("conv_id", "turn", src.message_text(line).alias("text"))
 
 
-# ---- symbols and diffs
-
-PYTHON = "import os.path as p, sys\nfrom a.b import c as d\n\ndef outer(x):\n    def inner():\n        return helper(x)\n    return inner()\n\nclass K:\n    def m(self):\n        self.n()\n        outer(1)\n\nouter(2)\n"
-SCRIPT = "import { foo, bar as baz } from './m';\nimport 'side/effect';\nexport function f() {\n  return g(foo(1));\n}\nclass C {\n  run() { helper(); if (x) {} }\n}\nexport const h = () => f();\ninterface I { a: string }\n"
-SHELL = "foo() {\n  bar\n  bar (1)\n}\nfunction bar() {\n  echo $(foo)\n}\nfoo()\n"
-
-
-def sources(spark) -> DataFrame:
-    rows = inline(spark, [("a.py", "python", PYTHON), ("b.ts", "typescript", SCRIPT), ("c.sh", "shell", SHELL), ("d.md", "markdown", "# no code f()")], "path string, language string, text string")
-    return symbols.extracted(rows, F.col("text"), F.col("language"))
-
-
-DEFS = [("a.py", "outer", "python", 4, 7), ("a.py", "inner", "python", 5, 6), ("a.py", "K", "python", 9, 12), ("a.py", "m", "python", 10, 12), ("b.ts", "f", "typescript", 3, 5), ("b.ts", "C", "typescript", 6, 8), ("b.ts", "h", "typescript", 9, 9), ("b.ts", "I", "typescript", 10, 11), ("c.sh", "foo", "shell", 1, 4), ("c.sh", "bar", "shell", 5, 7)]
-CALLS = [("a.py", "inner", "helper", 6), ("a.py", "outer", "inner", 7), ("a.py", "m", "n", 11), ("a.py", "m", "outer", 12), ("a.py", "<module>", "outer", 14), ("b.ts", "f", "g", 4), ("b.ts", "f", "foo", 4), ("b.ts", "C", "run", 7), ("b.ts", "C", "helper", 7), ("b.ts", "h", "f", 9), ("c.sh", "foo", "foo", 1), ("c.sh", "foo", "bar", 3), ("c.sh", "bar", "bar", 5), ("c.sh", "<module>", "foo", 8)]
-IMPORTS = [("a.py", "os.path", "p"), ("a.py", "sys", "sys"), ("a.py", "a.b", "c"), ("b.ts", "./m", "foo"), ("b.ts", "./m", "bar"), ("b.ts", "./m", "baz"), ("b.ts", "side/effect", "effect")]
-
-
-@query("SELECT * FROM " + values(DEFS, "file, symbol_name, language, start_line, end_line"))
-def symbol_definitions(spark, sf):
-    return symbols.tables(sources(spark))["definitions"]
-
-
-@query("SELECT * FROM " + values(CALLS, "file, caller, callee, line_in_caller"))
-def calls_to(spark, sf):
-    return symbols.tables(sources(spark))["calls"]
-
-
-@query("SELECT callee, caller, file, line_in_caller FROM " + values(CALLS, "file, caller, callee, line_in_caller"))
-def called_by(spark, sf):
-    return symbols.tables(sources(spark))["called_by"]
-
-
-@query("SELECT * FROM " + values(IMPORTS, "importing_file, imported_module, imported_name"))
-def symbol_imports(spark, sf):
-    return symbols.tables(sources(spark))["imports"]
-
-
-DIFF = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -4,3 +4,4 @@\n def outer(x):\n+    y = 1\n     def inner():\n-        pass\n+        return helper(x)\n@@ -20,2 +21,3 @@\n z\n+w\n v\ndiff --git a/new.ts b/new.ts\n--- /dev/null\n+++ b/new.ts\n@@ -0,0 +1,2 @@\n+one\n+two\n"
-
-
-@query("SELECT * FROM " + values([("a.py", 4, 4, "5,7,22"), ("new.ts", 0, 1, "1,2")], "file, old_start, new_start, added"))
-def parse_diff(spark, sf):
-    return diffs.parsed(src.diff_lines(spark, DIFF), F.col("diff")).select("file", "old_start", "new_start", F.array_join(F.col("added_lines").cast("array<string>"), ",").alias("added"))
-
-
-@query("SELECT * FROM " + values([("a.py", 20, 21, "22"), ("new.ts", 0, 1, "1,2")], "file, old_start, new_start, added"))
-def parse_diff_compat(spark, sf):
-    return diffs.parsed(src.diff_lines(spark, DIFF), F.col("diff"), True).select("file", "old_start", "new_start", F.array_join(F.col("added_lines").cast("array<string>"), ",").alias("added"))
-
-
-def touched(spark) -> DataFrame:
-    changes = inline(spark, [("a.py", [5, 7]), ("b.ts", [4]), ("c.sh", [])], "file string, added_lines array<int>")
-    return diffs.touched_symbols(changes, inline(spark, DEFS, "file string, symbol_name string, language string, start_line int, end_line int"))
-
-
-@query(f"SELECT file || '::' || symbol_name AS symbol_id FROM {values(DEFS, 'file, symbol_name, language, start_line, end_line')} WHERE (file = 'a.py' AND start_line <= 7 AND end_line >= 5) OR (file = 'b.ts' AND start_line <= 4 AND end_line >= 4)")
-def symbols_in_range(spark, sf):
-    return touched(spark).select("symbol_id")
-
-
-@query("SELECT DISTINCT s.symbol_id, caller, file FROM (VALUES ('a.py::outer'), ('a.py::inner'), ('b.ts::f')) AS s(symbol_id) JOIN " + values([*CALLS, ("e.py", "q", "mod.outer", 3)], "file, caller, callee, line") + " ON callee = split_part(symbol_id, '::', 2) OR callee = symbol_id OR callee LIKE '%.' || split_part(symbol_id, '::', 2)")
-def callers(spark, sf):
-    calls = inline(spark, [*CALLS, ("e.py", "q", "mod.outer", 3)], "file string, caller string, callee string, line_in_caller int")
-    return diffs.callers(touched(spark), calls)
-
-
 @query("SELECT DISTINCT 'd' || (doc_id % 7) || CASE doc_id % 3 WHEN 0 THEN '.test.ts' WHEN 1 THEN '_TEST.py' ELSE '.py' END AS path FROM documents WHERE doc_id % 3 < 2 AND (text ILIKE '%outer%' OR text ILIKE '%inner%' OR text ILIKE '%f%')")
 def test_files(spark, sf):
     kind = F.when(F.col("id") % 3 == 0, ".test.ts").when(F.col("id") % 3 == 1, "_TEST.py").otherwise(".py")
-    return diffs.test_files(touched(spark), docs(spark, sf).select(F.concat(F.lit("d"), F.col("id") % 7, kind).alias("path"), "text"))
+    named = inline(spark, [("a.py::outer",), ("a.py::inner",), ("b.ts::f",)], "symbol_id string")
+    return diffs.test_files(named, docs(spark, sf).select(F.concat(F.lit("d"), F.col("id") % 7, kind).alias("path"), "text"))
 
 
 # ---- packs
@@ -473,17 +399,6 @@ def budget_prefix(spark, sf):
     return packs.within_budget(rows, "source", "id", "cost", 4000)
 
 
-@query("""WITH RECURSIVE c AS (SELECT item_id AS id, greatest(1, length(text) // 4) AS cost, row_number() OVER (ORDER BY item_id) AS k FROM benchmark),
-g AS (SELECT id, k, cost <= 300 AS taken, CASE WHEN cost <= 300 THEN 300 - cost ELSE 300 END AS rest FROM c WHERE k = 1
-UNION ALL SELECT c.id, c.k, c.cost <= g.rest, CASE WHEN c.cost <= g.rest THEN g.rest - c.cost ELSE g.rest END FROM g JOIN c ON c.k = g.k + 1)
-SELECT id FROM g WHERE taken""")
-def budget_greedy(spark, sf):
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), T.approx_tokens(F.col("text")).alias("cost"))
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("id", "cost"))).alias("a"))  # the few hits of one section
-    taken = packs.greedy_budget(F.transform("a", lambda x: x["cost"]), 300)
-    return listed.select(F.explode(F.transform(taken, lambda k: F.get(F.col("a"), k)["id"])).alias("id"))
-
-
 # ---- telemetry
 
 LOG_SQL = "l AS (SELECT event_id, epoch(ts) AS ts, event_type || (user_id % 5) AS query, value / 100 AS top_score, user_id % 4 AS n_results FROM events), now AS (SELECT max(ts) AS now FROM l)"
@@ -644,9 +559,3 @@ def fusion_calibration(spark, sf):
     rank = lambda c: F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round(c, 9)), "id"))
     ranked = each.select("case_id", "id", "relevant", rank("cos").alias("rank_cos"), rank("bm25").alias("rank_bm25"))
     return evaluate.calibration(ranked)
-
-
-@query(f"WITH {COS_SQL} SELECT id, round(cos, 6) AS cos FROM cv WHERE cos >= 0.2 ORDER BY cos DESC, id LIMIT 2")
-def auto_recall(spark, sf):
-    """Two hits of a least cosine."""
-    return fusion.leading(cosines(spark, sf), "cos", "rank", 2).join(cosines(spark, sf), "id").filter("cos >= 0.2").select("id", F.round("cos", 6).alias("cos"))

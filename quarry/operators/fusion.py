@@ -68,11 +68,11 @@ def fuse(scored: DataFrame, n: int, top: int, query: str, settings: Settings) ->
     return found
 
 
-def wants_rerank(top1: float, top2: float, scope: list[str] | None, settings: Settings) -> bool:
-    """The choice for callers that made none."""
-    if settings.rerank:
-        return True
+def wants_rerank(top1: Column, top2: Column, scope: list[str] | None, settings: Settings) -> Column:
+    """The choice for callers that made none, by the two best cosines."""
     technical = bool(scope) and all("code" in s or "standards" in s for s in scope)
-    if settings.rerank_auto and (not settings.code_rerank or technical) and (top1 < settings.rerank_threshold or top1 - top2 < settings.rerank_margin):
-        return True
-    return settings.code_rerank and technical
+    if settings.rerank or settings.code_rerank and technical:
+        return F.lit(True)
+    if not settings.rerank_auto or settings.code_rerank:
+        return F.lit(False)
+    return (top1 < settings.rerank_threshold) | (top1 - top2 < settings.rerank_margin)

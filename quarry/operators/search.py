@@ -162,8 +162,10 @@ class Engine:
                 fused = fusion.fuse(narrow, n, top, query, self.settings)
             else:
                 fused = narrow.withColumn("score", F.col("cos"))
-            best_two = [r["cos"] for r in narrow.orderBy(F.desc("cos")).limit(2).select("cos").collect()]
-            again = rerank if rerank is not None else fusion.wants_rerank(best_two[0], best_two[1] if len(best_two) > 1 else 0.0, types, self.settings)
+            again = rerank
+            if again is None:
+                two = narrow.select("cos").orderBy(F.desc("cos")).limit(2).agg(F.max("cos").alias("a"), F.when(F.count("*") > 1, F.min("cos")).otherwise(0.0).alias("b"))
+                again = two.select(fusion.wants_rerank(F.col("a"), F.col("b"), types, self.settings)).first()[0]
             first = fusion.rerank_size(n, top) if again else top
             best = fused.select("id", "score", "cos", "bm25").orderBy(F.desc(F.round("score", 9)), "id").limit(first).collect()
         finally:

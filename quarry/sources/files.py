@@ -185,9 +185,13 @@ def diff_lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.lit(text).alias("diff"))
 
 
+def whole_files(sizes: DataFrame) -> DataFrame:
+    """Changes that take all lines of files (file, n: number of lines) as added."""
+    return sizes.select("file", F.lit(1).alias("old_start"), F.lit(1).alias("new_start"), F.sequence(F.lit(1), F.greatest("n", F.lit(1))).alias("added_lines"))
+
+
 def named_files(spark: SparkSession, sizes: list[tuple[str, int]]) -> DataFrame:
-    """Changes that take all lines of given files (path, number of lines) as added."""
-    return spark.createDataFrame(sizes, "file string, n int").select("file", F.lit(1).alias("old_start"), F.lit(1).alias("new_start"), F.sequence(F.lit(1), F.greatest("n", F.lit(1))).alias("added_lines"))
+    return whole_files(spark.createDataFrame(sizes, "file string, n int"))
 
 
 def git_changed(repo: str) -> list[str]:

@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry import catalog
+from quarry import catalog_made as catalog
+from quarry.catalog import ORACLES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,17 +27,17 @@ def plain(rows, names):
     return sorted([tuple(str(show(r[k])) for k in order) for r in rows])
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sql, name):
     df = catalog.QUERIES[name](spark, DATA)
-    found = sql.execute(catalog.ORACLES[name])
+    found = sql.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert plain(df.collect(), df.columns) == plain(found.fetchall(), names)
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

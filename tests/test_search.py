@@ -63,10 +63,11 @@ def test_null_symbol_is_the_word_none(engine):
     assert {r["id"]: r["bm25"] > 0 for r in got} == {2: True, 4: False} or math.isclose(sum(r["bm25"] for r in got), 0.0)
 
 
-def test_rerank_choice():
+def test_rerank_choice(spark):
     s = Settings()
-    assert fusion.wants_rerank(0.3, 0.1, None, s) and fusion.wants_rerank(0.9, 0.85, None, s) and not fusion.wants_rerank(0.9, 0.5, None, s)
-    assert not fusion.wants_rerank(0.3, 0.1, ["memory"], Settings(code_rerank=True)) and fusion.wants_rerank(0.9, 0.1, ["code"], Settings(code_rerank=True)) and fusion.wants_rerank(1, 0, None, Settings(rerank=True))
+    wants = lambda a, b, scope, settings: spark.range(1).select(fusion.wants_rerank(F.lit(a), F.lit(b), scope, settings)).first()[0]
+    assert wants(0.3, 0.1, None, s) and wants(0.9, 0.85, None, s) and not wants(0.9, 0.5, None, s)
+    assert not wants(0.3, 0.1, ["memory"], Settings(code_rerank=True)) and wants(0.9, 0.1, ["code"], Settings(code_rerank=True)) and wants(1.0, 0.0, None, Settings(rerank=True))
     assert fusion.window_size(50, 5) == 50 and fusion.window_size(900, 10) == 160 and fusion.rerank_size(900, 3) == 20
 
 
