@@ -21,7 +21,7 @@ def chunks(spark, rows):
 
 
 def test_store_versions(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/c", keep=2)
+    s = store.Store(spark, f"file://{tmp_path}/c", keep=2, buckets=64)
     assert s.read().count() == 0 and s.check()
     s.rebuild(chunks(spark, [("memory", "a", "1"), ("session", "b", "2")]))
     s.upsert(spark.createDataFrame([("a",), ("gone",)], "path string"), chunks(spark, [("memory", "a", "new"), ("memory", "a", "more")]))
@@ -29,7 +29,9 @@ def test_store_versions(spark, tmp_path):
     assert s.replace_type("session", chunks(spark, [])) is None
     s.replace_type("session", chunks(spark, [("session", "c", "3")]))
     assert sorted(r.path for r in s.read().collect()) == ["a", "a", "c"] and s.current() == 3
-    assert sorted(x for x in os.listdir(tmp_path / "c") if x.startswith("v=")) == ["v=2", "v=3"]
+    # parts that a change doesn't touch are taken over; those that no kept snapshot has are gone
+    assert {p.split("/")[0] for p in s.parts(3)} == {"v=2", "v=3"} and {p.split("/")[0] for p in s.parts(2)} == {"v=1", "v=2"} and s.parts(1) == []
+    assert sum(len([n for n in names if n.endswith(".parquet")]) for _, _, names in os.walk(tmp_path / "c" / "v=1")) == 1
     for folder, _, names in os.walk(tmp_path / "c" / "v=3"):
         for n in names:
             if n.endswith(".parquet"):
