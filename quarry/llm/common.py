@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes the tables that are materialized inside, but for those that the body puts into the list it gets."""
+    made, kept = [], []
+    _open.append(made)
+    try:
+        yield kept
+    finally:
+        _open.remove(made)
+        release(*[t for t in made if all(t is not k for k in kept)])
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for df in tables:

@@ -85,7 +85,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), _normal(F.col(text_col)).alias("norm")).select("doc_id", _sha(F.col("norm")).alias("sha"), "norm")
     named = block_identities(keyed, ["doc_id", "sha"], "norm", block_bytes)
     rows = named.groupBy("level", "name", "doc_id", "sha").agg(F.sum("copies").alias("copies"))
-    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written before it is joined to the rows, so that a large group's join can be split
+    groups = materialize(rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return rows.join(groups, ["level", "name"])
 
 

@@ -2,8 +2,8 @@
 
 Thresholds are quantiles of the labelled rows. Of two thirds of them a rule is grown, condition by condition, each the one with
 the most information gain over the rows that the rule still covers; of the last third it is pruned: conditions at its end go if
-the rule is better without. Rows that a rule covers leave, and the next rule is grown, until none is precise enough. Every step
-is one aggregation over all labelled rows, of a few hundred counts; nothing is sampled. The result is an ordered when().
+the rule is better without. Rows that a rule covers leave, and the next rule is grown, until none is precise enough or the list
+has as many rules as a reader can take in (most_rules, of most_conditions each: parameters of the model). Every step is one aggregation over all labelled rows, of a few hundred counts; nothing is sampled. The result is an ordered when().
 """
 
 from __future__ import annotations
@@ -38,10 +38,11 @@ def _gain(p: float, n: float, was: float) -> float:
     return p * (math.log2(p / (p + n)) - was) if p else 0.0
 
 
-def learn_rules(labelled: DataFrame, names: tuple[str, ...] = FEATURES, precision: float = PRECISION) -> list[list[Condition]]:
+def learn_rules(labelled: DataFrame, names: tuple[str, ...] = FEATURES, precision: float = PRECISION, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[list[Condition]]:
     """Rules for label 1 (reject). labelled: a double column for each name, label int, fold int (0 or 1 grows, 2 prunes).
 
-    Without rows, or with one label only, there are no rules.
+    At most most_rules rules of most_conditions conditions. Of conditions with equal gain the first feature's lowest limit is taken, above
+    it before below. Without rows, or with one label only, there are no rules.
     """
     marks = [k / BINS for k in range(1, BINS)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
     limits = labelled.agg(*[F.percentile_approx(n, sorted(marks), 10_000).alias(n) for n in names]).first()
@@ -59,12 +60,12 @@ def learn_rules(labelled: DataFrame, names: tuple[str, ...] = FEATURES, precisio
             out = out & holds(c)
         return out
 
-    while len(picks) < MOST_RULES:
+    while len(picks) < most_rules:
         left = rows
         for rule in picks:
             left = left.filter(~all_hold(rule))
         rule: list[tuple[int, bool, int]] = []
-        while len(rule) < MOST_CONDITIONS:
+        while len(rule) < most_conditions:
             found = left.filter("fold < 2").filter(all_hold(rule)).select("label", F.posexplode("bins").alias("f", "b")).groupBy("f", "b").agg(F.sum("label").alias("p"), F.count("*").alias("t")).collect()
             counts = {(r["f"], r["b"]): (r["p"], r["t"] - r["p"]) for r in found}
             all_p, all_n = sum(p for (f, _), (p, _) in counts.items() if f == 0), sum(n for (f, _), (_, n) in counts.items() if f == 0)

@@ -1,9 +1,11 @@
+import pathlib
 import random
 
 import pytest
 
 import corpus_pipeline
 from quarry.llm import mixing, rules
+from quarry.llm.common import shared_dir
 from test_neardup import brute as near_brute
 
 
@@ -56,3 +58,28 @@ def test_empty_table(spark, docs_of, folder):
     docs = docs_of([]).drop("name")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_repeated_ids_go_through_by_their_texts(spark, folder, tmp_path):
+    """One doc_id under several texts, repeated rows and null ids: each stage keeps and drops rows, not ids."""
+    long = [" ".join(f"{p}{k}" for k in range(70)) for p in "abcdef"]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (2, long[0].upper()), (3, long[2]), (3, "short"), (4, long[2] + " tail"), (None, long[3]), (None, long[3]), (5, None), (5, long[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = [
+        [r for r in rows if r[1] and r[1] != "short"],
+        [(2, long[0].upper()), (1, long[1]), (3, long[2]), (4, long[2] + " tail"), (None, long[3]), (5, long[4])],
+        [(2, long[0].upper()), (1, long[1]), (3, long[2]), (None, long[3]), (5, long[4])],
+    ]
+    for (_, stage), kept in zip(corpus_pipeline.STAGES, want, strict=False):
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(kept, key=str)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()} <= set(want[-1])
+
+
+def test_run_leaves_only_what_its_result_needs(spark, folder):
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    there = lambda: {p.name for p in shared.glob("quarry-*")}
+    before = there()
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert sorted(n.split("-")[1] for n in there() - before) == ["mix_sources", "pieces"]
