@@ -5,12 +5,15 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_left
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, groupby
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import paths
 from ..functions import text as T
@@ -196,40 +199,55 @@ def chunk_files(files: DataFrame, settings) -> DataFrame:
     return out.select("source_type", "repo", "language", "symbol", "path", "start_line", "end_line", F.left("body", F.lit(STORED_CHARS)).alias("text"), "file_sha", "mtime", "chunk_no", prefix.alias("embed_text"))
 
 
-def session_groups(messages: Column) -> Column:
-    """Of an ordered array of message texts: struct(start, end, text) for each chunk, by a fold over the messages.
+def buffered(messages: list[str] | Iterator[str]) -> Iterator[tuple[int, int, str]]:
+    """start, end, text for each chunk of a transcript's messages.
 
     A message that would take the buffer over SESSION_CHARS opens a new one. Buffers of under SESSION_LEAST characters go and
     don't count in the numbers of later ones.
     """
-    empty = F.lit("").cast("string")
-    state = F.struct(
-        F.array().cast("array<struct<start:int,end:int,text:string>>").alias("done"), F.lit(0).alias("at"), F.lit(0).alias("count"), F.lit(0).alias("size"), empty.alias("buffer")
-    )
-
-    def flushed(s: Column) -> tuple[Column, Column]:
-        body = F.regexp_replace(s["buffer"], "^[\\s]+|[\\s]+$", "")
-        kept = (s["count"] > 0) & (F.length(body) >= SESSION_LEAST)
-        row = F.struct(s["at"].alias("start"), (s["at"] + s["count"]).alias("end"), F.left(body, F.lit(SESSION_CHARS)).alias("text"))
-        return F.when(kept, F.concat(s["done"], F.array(row))).otherwise(s["done"]), F.when(kept, s["at"] + s["count"]).otherwise(s["at"])
-
-    def step(s: Column, m: Column) -> Column:
-        full = (s["size"] + F.length(m) > SESSION_CHARS) & (s["count"] > 0)
-        done, at = flushed(s)
-        return F.struct(
-            F.when(full, done).otherwise(s["done"]).alias("done"),
-            F.when(full, at).otherwise(s["at"]).alias("at"),
-            F.when(full, F.lit(1)).otherwise(s["count"] + 1).alias("count"),
-            (F.when(full, F.lit(0)).otherwise(s["size"]) + F.length(m)).alias("size"),
-            F.when(full | (s["count"] == 0), m).otherwise(F.concat(s["buffer"], F.lit("\n"), m)).alias("buffer"),
-        )
-
-    return F.aggregate(messages, state, step, lambda s: flushed(s)[0])
+    buffer, size, at = [], 0, 0
+
+    def flushed() -> Iterator[tuple[int, int, str]]:
+        body = "\n".join(buffer).strip(" \t\n\x0b\f\r")
+        if len(body) >= SESSION_LEAST:
+            yield at, at + len(buffer), body[:SESSION_CHARS]
+
+    for m in messages:
+        if buffer and size + len(m) > SESSION_CHARS:
+            for row in flushed():
+                yield row
+                at = row[1]
+            buffer, size = [], 0
+        buffer.append(m)
+        size += len(m)
+    yield from flushed()
+
+
+def _by_transcript(kind: pa.DataType):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frames sorted by key and order: one message after another is read, and no more than a buffer is held."""
+        rows = ((k, m.as_py()) for frame in frames for k, m in zip(frame.column(0).to_pylist(), frame.column(1), strict=True))
+        out = []
+        for key, group in groupby(rows, lambda r: r[0]):
+            for chunk in buffered(m for _, m in group):
+                out.append((key, *chunk))
+                if len(out) >= 1000:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, pa.int32(), pa.int32(), pa.string()), strict=True)], ["key", "start", "end", "text"])
+
+    return run
 
 
 def session_chunks(messages: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    """key, start_line, end_line, text, sha of the chunks of each transcript. A transcript's messages are one array: it is one file."""
+    """key, start_line, end_line, text, sha of the chunks of each transcript. Messages are sorted by the shuffle and read as a stream."""
+    ship(messages.sparkSession)
     kept = messages.filter(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
-    listed = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]).alias("m"))
-    rows = listed.select(key, F.explode(session_groups(F.col("m"))).alias("c"))
-    return rows.select(key, F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.col("c.text").alias("text"), T.session_sha(F.col("c.text")).alias("sha"))
+    sorted_rows = kept.repartition(key).sortWithinPartitions(key, order, text).select(key, text)
+    kind = sorted_rows.schema[0].dataType
+    rows = sorted_rows.mapInArrow(_by_transcript(to_arrow_type(kind)), f"key {kind.simpleString()}, start int, end int, text string")
+    return rows.select(F.col("key").alias(key), F.col("start").alias("start_line"), F.col("end").alias("end_line"), "text", T.session_sha(F.col("text")).alias("sha"))

@@ -8,16 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens
-from .diffs import bare_name, callers, test_files, touched_symbols
+from .diffs import callers, test_files, touched_symbols
 from .search import Engine
 
 LOW_BUDGET = 100
 
 
+#: Parts that a group is dealt to before its rows meet.
+PARTS = 64
+
+
 def within_budget(rows: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Rows of each group up to the first that doesn't fit: what comes after it goes too, however small."""
-    total = F.sum(cost).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("running", total).filter(F.col("running") <= budget)
+    """Rows of each group up to the first that doesn't fit: what comes after it goes too, however small.
+
+    A row's sum within a part of its group is no more than its sum within the group, so the parts are cut at the budget first and a group's
+    task gets PARTS times what fits, however large the group is. Costs are 1 or more.
+    """
+    upto = lambda *by: F.sum(cost).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(PARTS))).withColumn("running", upto(group, "_part")).filter(F.col("running") <= budget + F.col(cost)).drop("_part")
+    return few.withColumn("running", upto(group)).filter(F.col("running") <= budget)
 
 
 def greedy_budget(costs: Column, budget: int) -> Column:
@@ -33,10 +42,6 @@ def greedy_budget(costs: Column, budget: int) -> Column:
     return F.aggregate(costs, start, step, lambda s: s["taken"])
 
 
-def with_cost(rows: DataFrame, text: str = "text", out: str = "cost") -> DataFrame:
-    return rows.withColumn(out, approx_tokens(F.col(text)))
-
-
 def cost_of(block: str) -> int:
     return max(1, len(block) // 4)
 
@@ -140,6 +145,3 @@ def diff_pack(engine: Engine, changes: DataFrame, definitions: DataFrame, called
             pack.add(_block(f"### `{h['path']}:{h['start_line']}-{h['end_line']}`", h["text"][:600]))
     symbols.unpersist()
     return pack.text("# Diff-scoped context pack", max(0, pack.left))
-
-
-__all__ = ["Pack", "bare_name", "cost_of", "diff_pack", "file_hits", "greedy_budget", "task_pack", "with_cost", "within_budget"]
