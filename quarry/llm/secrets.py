@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from .common import WORD, let
 
 CANDIDATE = "[A-Za-z0-9_+/=-]{16,}"
+#: A shorter or punctuated value at the end of a text that names a secret and assigns to it; the value is group 1.
+ASSIGNED = (
+    "(?i)(?:token|secret|passw\\w*|pwd|passphrase|api_?key|auth\\w*|credentials?|(?:private|access)_?key)[\"']?\\s*[:=]{1,2}\\s*[\"'`(]{0,3}"
+    "([^\\s\"'`(),;:=]{6,64})[\"'`),;]{0,4}$"
+)
+#: What such a text looks like anywhere, and characters of each neighbouring word that are read.
+NAMES_SECRET, NEAR_CHARS = "(?i)(?:token|secret|passw|pwd|passphrase|api_?key|auth|credential|private_?key|access_?key)", 40
 #: Dictionary for coverage: common words, identifiers and syllables of the four languages. Fixed values.
 DICTIONARY = (
     "the and that for with this from are was were have has had not but you all can will one our out use any new now how its may see way who get name key file path user data "
@@ -94,12 +101,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (maybe_upper(spoken), pick_of(draw(16, 4), plain, plain, plain, named), 0),
         (F.concat(pick(17, "/usr/lib/", "src/", "https/", "/home/user/"), part(18), F.lit("/"), part(19), F.lit("_"), part(20)), pick_of(draw(21, 3), plain, plain, named), 0),
         (F.concat(part(22), F.lit("_"), part(23), pick(24, "_", "-"), part(25), F.lit("_"), part(26)), pick_of(draw(27, 2), plain, named), 0),
+        (F.concat(pick(30, "Tr0ub4dor", "S3cure", "hunt3r", "Pa55", "qX9", "Zeb7ra", "mY", "K9"), pick(31, "&", "!", "#", "~", ".", "@", "%", "$"), F.substring(F.regexp_replace(b64, "[+/=]", "7"), 1, 5), pick(32, "", "!", "9")), named, 1),
+        (F.concat(F.substring(F.regexp_replace(b64, "[+/=]", "k"), 1, 8), pick(33, "", "_", "!", "-"), F.substring(hex40, 1, 4)), named, 1),
+        (pick(34, "string", "required", "undefined", "process.env.KEY", "config.token", "example.com", "changeme", "<password>", "${TOKEN}", "user.name", "settings.auth", "missing", "optional", "redacted", "your-password", "******", "xxxxxxxx"), named, 0),
+        (F.concat(F.substring(spoken, 1, 7), pick(35, "", ".", ".name", "_key", "()")), named, 0),
         (pick(28, "xxxxxxxxxxxxxxxxxxxxxxxx", "0000000000000000000000000000", "your-api-key-goes-here", "example_token_value_here", "----------------------", "==================", "1234567890123456"), pick_of(draw(29, 2), named, plain), 0),
     ]
     base = spark.range(n).withColumn("kind", F.pmod(F.col("id"), F.lit(len(rows))))
     choose = lambda k: _cases([(F.col("kind") == j, r[k] if isinstance(r[k], Column) else F.lit(r[k])) for j, r in enumerate(rows)])
     out = base.select("id", choose(0).alias("finding"), choose(1).alias("before"), choose(2).alias("secret"))
-    return out.select("finding", quoted(F.col("finding")).alias("word"), "before", plain.alias("after"), "secret").filter(F.col("finding").rlike(f"^{CANDIDATE}$"))
+    return out.select("finding", quoted(F.col("finding")).alias("word"), "before", plain.alias("after"), "secret").filter(F.char_length("finding") >= 6)
 
 
 def _cases(parts: list[tuple[Column, Column]]) -> Column:
@@ -173,25 +184,36 @@ def forest_score(forest: list[Tree]) -> Column:
     return total / max(1, len(forest))
 
 
+def findings(word: Column, before: Column) -> Column:
+    """All runs of CANDIDATE in a word, then the value that the text up to its end assigns to a secret, unless one of them holds it."""
+    value = F.regexp_extract(F.concat_ws(" ", before, word), ASSIGNED, 1)
+    long = F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0))
+    return F.when((value != "") & ~F.exists(long, lambda r: r.contains(value)), F.concat(long, F.array(value))).otherwise(long)
+
+
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep columns with at (number of the word in the text, from 0), part (of the word), finding, word, before, after."""
-    text = docs.filter(F.col(text_col).rlike(CANDIDATE)).select(*keep, F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("_w"))
+    text = docs.filter(F.col(text_col).rlike(CANDIDATE) | F.col(text_col).rlike(NAMES_SECRET)).select(*keep, F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("_w"))
 
     def around(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.octet_length(F.get(w, i)) >= 16) & F.get(w, i).rlike(CANDIDATE))
-        short = lambda i: F.coalesce(F.substring(F.get(w, i), -40, 40), F.lit(""))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), F.concat_ws(" ", short(i - 2), short(i - 1)).alias("before"), F.coalesce(F.substring(F.get(w, i + 1), 1, 40), F.lit("")).alias("after")))
+        # a value stands in the word that assigns or right behind it; most words are neither that nor long
+        assigns = lambda i: F.get(w, i).rlike("[:=].{6}|^[:=]") | F.coalesce(F.get(w, i - 1).rlike("[:=][\"'`(]*$"), F.lit(False))
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ((F.octet_length(F.get(w, i)) >= 16) & F.get(w, i).rlike(CANDIDATE)) | ((F.octet_length(F.get(w, i)) >= 6) & assigns(i)))
+        short = lambda i: F.coalesce(F.substring(F.get(w, i), -NEAR_CHARS, NEAR_CHARS), F.lit(""))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), F.concat_ws(" ", short(i - 2), short(i - 1)).alias("before"), F.coalesce(F.substring(F.get(w, i + 1), 1, NEAR_CHARS), F.lit("")).alias("after")))
 
     found = text.select(*keep, F.explode(around(F.col("_w"))).alias("_c")).select(*keep, "_c.*")
-    return found.select(*keep, "at", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "finding"), "word", "before", "after")
+    return found.select(*keep, "at", F.posexplode(findings(F.col("word"), F.col("before"))).alias("part", "finding"), "word", "before", "after")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a candidate: doc_id, at, part, finding, score, secret (score of 1/2 or more).
 
-    labelled: finding, word, before, after, secret (0 or 1); None takes labelled_findings. Null, empty and wordless texts have no
-    candidates, as have texts without a run of 16 or more of the pattern's characters. Rows that repeat a doc_id are scanned each.
-    Without labelled rows all scores are 0. Other columns are ignored.
+    labelled: finding, word, before, after, secret (0 or 1); None takes labelled_findings. Candidates are runs of 16 or more letters,
+    digits and _+/=-, and shorter or punctuated values of 6 to 64 characters right behind a secret's name and an assignment. Null, empty
+    and wordless texts have none. A very long text is one row of its words; of a neighbouring word the nearest NEAR_CHARS characters are
+    read. Splits of equal worth go to the feature drawn first. Rows that repeat a doc_id are scanned each. Without labelled rows all
+    scores are 0. An empty table gives no rows. Other columns are ignored.
     """
     labelled = labelled_findings(docs.sparkSession) if labelled is None else labelled
     rows = with_features(labelled.filter("secret in (0, 1)")).select("secret", *[f"f_{n}" for n in FEATURES]).collect()

@@ -6,13 +6,21 @@ from quarry.llm import secrets
 
 def test_candidates_equal_brute_force(spark, docs_of):
     texts = [None, "", "  ", "short", "x" * 16, 'a b token = "' + "0af9" * 10 + '" c', "k=" + "A" * 20 + ".b=" + "C" * 16 + " é\x0bz", "ü" * 16 + "abc " * 3000 + "f" * 30]
+    texts += ['password = "Tr0ub4dor&3x"; next', "password=Tr0ub4dor~3x", "pwd: a.b@c!9,", "api_key :\n 'short1'", "the key = value", "token = abc", "secret == (getpass())", "auth_token: one two", "PASSWORD:" + "y" * 70 + " z", "a = 1 password ="]
+    value = re.compile(secrets.ASSIGNED)
     want = set()
     for i, t in enumerate(texts):
-        for at, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")):
-            for part, m in enumerate(re.findall(secrets.CANDIDATE, w)):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for at, w in enumerate(words):
+            found = re.findall(secrets.CANDIDATE, w)
+            m = value.search(" ".join([*(x[-40:] for x in ["", "", *words][at : at + 2]), w]))
+            if m and not any(m.group(1) in r for r in found):
+                found.append(m.group(1))
+            for part, m in enumerate(found):
                 want.add((i, at, part, m))
     got = {(r.doc_id, r.at, r.part, r.finding) for r in secrets.candidates(docs_of([(i, t, "", "") for i, t in enumerate(texts)]), ["doc_id"]).collect()}
     assert got == want
+    assert {f for _, _, _, f in got} >= {"Tr0ub4dor&3x", "Tr0ub4dor~3x", "a.b@c!9", "short1"} and not {f for _, _, _, f in got} & {"value", "abc", "one"}
 
 
 def test_held_out_findings(spark):
@@ -35,7 +43,9 @@ def test_held_out_findings(spark):
 def test_scan(spark, docs_of):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(1, f'on anre token = "{key}" tothin', "", ""), (2, f"see commit {key} for more", "", ""), (3, "words like enkeitlichungheitberein und mehr", "", ""), (4, None, "", ""), (5, f'THE TOKEN = "{key.upper()}"!! IT', "", "")]
+    rows += [(6, 'set password = "Tr0ub4dor&3x" and go', "", ""), (7, "the token: string, is required", "", ""), (8, "password=changeme", "", ""), (9, "pwd = 'kX81#qpz7' now", "", "")]
     got = {r.doc_id: r for r in secrets.scan(docs_of(rows)).collect()}
+    assert got[6].secret and got[9].secret and not got[7].secret and not got[8].secret
     assert got[1].secret and got[5].secret and not got[2].secret and not got[3].secret and 4 not in got
     none = secrets.labelled_findings(spark, 0)
     assert all(not r.secret for r in secrets.scan(docs_of(rows), none).collect())
