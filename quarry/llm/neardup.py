@@ -6,9 +6,9 @@ hot ones. If 4 |A & B| >= 3 |A | B|, the first n / 4 + 1 tokens of A and of B (n
 meet under the tokens of these prefixes; a token of one node only leaves no trace but its place in the order. Counting, placing
 and meeting are window functions over plain rows (token, node), so a task holds no more than Spark's sort does. The nodes that
 meet under a token are put under one name, the hub, and all sets under a hub are compared in a prefix tree. A hub with very
-many tokens of sets is parted by size (similar sets differ by 4/3 at most) and then cut into blocks; links between blocks come
-from a second pass over those nodes that the first has not linked to the least node's component, so no link between components is
-lost.
+many tokens of sets is parted by size (similar sets differ by 4/3 at most). Groups are cut into blocks that share their least node; links
+between blocks come from a second pass over those nodes that the first has not linked to that node's component, so no link between
+components is lost.
 
 Hashes are 64 bits: two different shingles of one pair of texts fall together with a chance of about n * n / 2**64.
 """
@@ -33,7 +33,9 @@ from .trie import similar_groups
 CUT = 0.4
 #: A token is hot in that share of the nodes, or that part of all tokens: so at most MOST_HOT are broadcast, 16 bytes each.
 HOT_SHARE, HOT_LEAST, MOST_HOT = 0.002, 64, 1 << 19
-BATCH_TOKENS, BLOCK_TOKENS, MOST_BITS = 1_000_000, 1 << 17, 27
+BATCH_TOKENS, MOST_BITS = 1_000_000, 27
+#: Tokens of a block's sets in the first pass, and in the second; groups of more than the second number are parted by size.
+FIRST_TOKENS, BLOCK_TOKENS = 1 << 15, 1 << 17
 EDGE = np.uint64(int(CUT * 2**64))
 
 
@@ -255,7 +257,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     large = several.filter(F.col("tokens") > BLOCK_TOKENS).select("node", "n", F.explode(F.array(F.xxhash64("hub", kind), F.xxhash64("hub", kind + 1))).alias("hub"))
     groups = several.filter(F.col("tokens") <= BLOCK_TOKENS).select("hub", "node", "n").unionByName(large.select("hub", "node", "n"))
     groups = materialize(groups, "groups")
-    hubs = groups.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.min("node").alias("pivot"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
+    hubs = groups.groupBy("hub").agg(F.ceil(F.sum("n") / FIRST_TOKENS).alias("blocks"), F.ceil(F.sum("n") / BLOCK_TOKENS).alias("wide"), F.min("node").alias("pivot"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
     hubs = materialize(hubs, "hubs")
     placed = groups.select("hub", "node").join(hubs, "hub").withColumn("x", F.when(F.col("node") == F.col("pivot"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
     pivots = placed.filter("x < 0").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -274,19 +276,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = compared(spread.select("hub", "node", "x", F.lit(0).alias("y"), F.lit(True).alias("asks")))
     comps = components(links)
     # groups of several blocks: nodes outside the pivot's component against all blocks
-    cut = spread.filter("blocks > 1").join(comps, "node", "left").select("hub", "node", "pivot", "blocks", F.coalesce("comp", "node").alias("comp"))
+    cut = spread.filter("blocks > 1").join(comps, "node", "left").select("hub", "node", "pivot", "wide", F.coalesce("comp", "node").alias("comp"))
     main = cut.filter("node = pivot").select("hub", F.col("comp").alias("main")).distinct()
-    rest = materialize(cut.join(main, "hub").filter("comp <> main").select("hub", "node", "blocks").distinct(), "rest")
+    rest = materialize(cut.join(main, "hub").filter("comp <> main").select("hub", "node", "wide").distinct(), "rest")
     if not rest.isEmpty():
-        sizes = groups.join(rest, ["hub", "node"]).groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-        rest = rest.join(sizes, "hub").withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
-        asking = rest.select("hub", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), "y", F.lit(True).alias("asks"))
-        asked = spread.join(sizes, "hub").select("hub", "node", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"), F.lit(False).alias("asks"))
+        sizes = materialize(groups.join(rest, ["hub", "node"]).groupBy("hub", "wide").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")), "parts")
+        each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        asking = rest.join(sizes, ["hub", "wide"]).select("hub", "node", each("wide").alias("x"), F.pmod(F.xxhash64("node", F.lit(1)), "parts").alias("y"), F.lit(True).alias("asks"))
+        asked = groups.join(sizes, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "wide").alias("x"), each("parts").alias("y"), F.lit(False).alias("asks"))
         asked = asked.join(asking.select("hub", "node", "x", "y"), ["hub", "node", "x", "y"], "left_anti")
         more = compared(asking.unionByName(asked))
         release(comps)
         comps = components(links.unionByName(more))
-        release(more)
+        release(more, sizes)
+    release(rest)
     of_node = materialize(first.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "classes")
     release(first, meetings, sums, hubs, groups, spread, links, comps)
     return known.join(of_node, "node", "left")

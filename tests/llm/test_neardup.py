@@ -55,6 +55,7 @@ def test_equals_brute_force(spark, docs_of):
 
 
 def test_many_blocks_and_hot_tokens(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "FIRST_TOKENS", 500)
     monkeypatch.setattr(neardup, "BLOCK_TOKENS", 1500)
     monkeypatch.setattr(neardup, "HOT_LEAST", 5)
     rows = corpus(random.Random(12), 300)
