@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rpc
 from .config import Settings
 from .functions import paths, vectors
 from .functions import text as T
 from .operators import chunking, diffs, fusion, lexical, models, packs, symbols
 from .operators.search import Engine
 from .plans import evaluate, store, telemetry
+from .ship import ship
 from .sources import files as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,7 +538,9 @@ CLAMPS = [("7", 7), ("0", 1), ("99", 20), ("x", 5), (None, 5), ("-3", 1)]
 
 @query("SELECT raw, top FROM " + values(CLAMPS, "raw, top"))
 def clamp_top(spark, sf):
-    return inline(spark, [(r,) for r, _ in CLAMPS], "raw string").withColumn("top", paths.clamp_top(F.col("raw")))
+    """The server's own rule for the number of hits."""
+    ship(spark)
+    return inline(spark, [(r,) for r, _ in CLAMPS], "raw string").withColumn("top", F.udf(rpc.clamp, "int", useArrow=True)("raw"))
 
 
 CAL_SQL = f"""WITH {bm25_sql("doc_id IN (SELECT vec_id FROM embeddings)")},

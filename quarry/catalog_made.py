@@ -50,8 +50,12 @@ CALLS_SQL = f"calls AS (SELECT file, replace(a, '@', id::VARCHAR) AS caller, rep
 
 
 def scratch_path(spark, name: str) -> str:
-    """A new folder in the one that the cluster names for checkpoints; a temporary one where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    """A new folder in the one that the cluster names for checkpoints; a temporary one only where a single machine names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return f"{found.rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
 
 

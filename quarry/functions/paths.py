@@ -138,7 +138,3 @@ def memory_target(scope: Column, expected: Column) -> Column:
 
 def relevant(expected: Column, paths: Column) -> Column:
     return F.exists(expected, lambda e: F.exists(paths, lambda p: p.contains(e)))
-
-
-def clamp_top(value: Column, default: int = 5, low: int = 1, high: int = 20) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(value.try_cast("int"), F.lit(default))))
