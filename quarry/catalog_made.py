@@ -6,7 +6,9 @@ be found in it.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,9 @@ from .functions import text as T
 from .operators import chunking, diffs, models, packs, symbols
 from .operators.search import Engine
 from .plans import store
+from .ship import ship
 from .sources import files as src
+from .streaming import reindex
 
 #: A file of each language: @ stands for the document's number, § for its letters.
 FILES = {
@@ -298,4 +302,92 @@ def store_versions(spark, sf):
     return known.read().groupBy("path", "source_type").agg(F.count("*").cast("int").alias("n"))
 
 
+# ---- files
+
+def written(rows: DataFrame, root: str) -> str:
+    """Writes (name, text) rows as files below a folder that all workers see; the folder's path without a scheme."""
+    folder = root.removeprefix("file://").removeprefix("file:")
+
+    def write(frames):
+        for frame in frames:
+            for name, text in zip(frame["name"], frame["text"], strict=True):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield frame[["name"]]
+
+    ship(rows.sparkSession)
+    rows.mapInPandas(write, "name string").count()
+    return folder
+
+
+def passages(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+@query("""SELECT 'memory' AS source_type, item_id || '.md' AS name, sha1(text) AS file_sha, text FROM benchmark WHERE item_id % 4 = 0
+UNION ALL SELECT 'plans', item_id || '.md', sha1(text), text FROM benchmark WHERE item_id % 4 = 1""")
+def scanned_notes(spark, sf):
+    """Notes found by glob and read by the executors: a file that two globs find has the first one's type, quarantined ones go."""
+    place = F.when(F.col("id") % 4 == 0, "memory/").when(F.col("id") % 4 == 1, "plans/").when(F.col("id") % 4 == 2, "quarantine/").otherwise("other/")
+    folder = written(passages(spark, sf).select(F.concat(place, "id", F.lit(".md")).alias("name"), "text"), scratch_path(spark, "notes"))
+    found = src.note_files(spark, [("memory", f"{folder}/memory/*.md"), ("plans", f"{folder}/[mpq]*/*.md")])
+    return src.read_texts(spark, found).select("source_type", T.file_name(F.col("path")).alias("name"), "file_sha", "text")
+
+
+@query("SELECT 'a/b/' || item_id || '.py' AS name, 'x = ' || item_id || chr(10) AS text FROM benchmark WHERE item_id % 4 = 0")
+def scanned_code(spark, sf):
+    """Code files of a repo by extension, outside of excluded folders."""
+    place = F.when(F.col("id") % 4 == 0, "a/b/").when(F.col("id") % 4 == 1, "node_modules/").when(F.col("id") % 4 == 2, ".venv_x/").otherwise("docs/")
+    kind = F.when(F.col("id") % 4 == 3, ".txt").otherwise(".py")
+    folder = written(passages(spark, sf).select(F.concat(place, "id", kind).alias("name"), F.concat(F.lit("x = "), "id", F.lit("\n")).alias("text")), scratch_path(spark, "code"))
+    texts = src.read_texts(spark, src.code_files(spark, Settings(repos=(folder,))))
+    return texts.select(F.substring("path", len(os.path.realpath(folder)) + 2, 10_000).alias("name"), "text")
+
+
+@query("""SELECT 'q' || item_id AS query, CASE item_id % 2 WHEN 0 THEN 'a.py' ELSE 'a.py+b.py' END AS expect, CASE item_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'code' ELSE 'code+memory' END AS scope FROM benchmark""")
+def labelled_cases(spark, sf):
+    """A dataset of JSON lines, labels and scopes as strings or lists, lines without a label between them."""
+    expect = F.when(F.col("id") % 2 == 0, F.lit('"a.py"')).otherwise(F.lit('["a.py", "b.py"]'))
+    scope = F.when(F.col("id") % 3 == 0, F.lit("null")).when(F.col("id") % 3 == 1, F.lit('"code"')).otherwise(F.lit('["code", "memory"]'))
+    lines = passages(spark, sf).select(F.concat(F.lit('{"query": "q'), "id", F.lit('", "expect_path_contains": '), expect, F.lit(', "expect_scope": '), scope, F.lit('}\n{"id": 1}\n\n')).alias("value"))
+    path = scratch_path(spark, "cases")
+    lines.write.text(path)
+    return src.cases(spark, path).select("query", F.array_join("expect", "+").alias("expect"), paths.scope_key(F.col("scope")).alias("scope"))
+
+
+@query("""SELECT conv_id || '.jsonl' AS name, count(*) AS n, sum(CASE WHEN role = 'assistant' THEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) + 2 ELSE length(text) END)::BIGINT AS chars FROM conversations WHERE conv_id % 2 = 0 AND trim(text) <> '' GROUP BY ALL""")
+def transcript_files(spark, sf):
+    """Transcripts as files of JSON lines: plain messages, and lists of blocks; compacted ones are passed over."""
+    rows = table(spark, sf, "conversations").filter("trim(text) <> ''")
+    blocks = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.lit("x").alias("text"))).alias("content")).alias("message")))
+    line = F.when(F.col("role") == "assistant", blocks).otherwise(F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"))))
+    name = F.concat(F.when(F.col("conv_id") % 2 == 1, "agent-acompact-").otherwise(""), "conv_id", F.lit(".jsonl"))
+    files = rows.select(name.alias("name"), "turn", line.alias("l")).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]), "\n").alias("text"))
+    folder = written(files, scratch_path(spark, "transcripts"))
+    found = src.transcripts(spark, f"file://{folder}", 1)
+    return found.groupBy(T.file_name(F.col("path")).alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT 'memory' AS source_type, item_id || '.md' AS name, CASE WHEN item_id % 5 = 0 THEN 'changed' ELSE 'first' END AS word FROM benchmark WHERE item_id % 7 <> 0""")
+def followed_files(spark, sf):
+    """A store that a stream fills from a folder, and a refresh that finds changed and deleted files."""
+    root = scratch_path(spark, "followed")
+    note = lambda word: F.concat(F.lit(f"{word} words of note "), "id", F.lit(" about the board and the painter"))
+    name = F.concat(F.lit("memory/"), "id", F.lit(".md"))
+    folder = written(passages(spark, sf).select(name.alias("name"), note("first").alias("text")), root)
+    known, settings = store.Store(spark, scratch_path(spark, "store")), Settings(dim=4)
+    reindex.follow(spark, known, f"file://{folder}", scratch_path(spark, "stream"), settings).awaitTermination()
+    gone, later = [r[0] for r in passages(spark, sf).filter("id % 7 = 0").select(name).collect()], time.time() + 60
+    for n in gone:
+        os.remove(f"{folder}/{n}")
+    changed = passages(spark, sf).filter("id % 5 = 0 and id % 7 <> 0").select(name.alias("name"), note("changed").alias("text"))
+    written(changed, root)
+    for r in changed.select("name").collect():
+        os.utime(f"{folder}/{r[0]}", (later, later))
+    reindex.refresh(known, f"file://{folder}", settings)
+    return known.read().select("source_type", T.file_name(F.col("path")).alias("name"), F.split("text", " ")[0].alias("word"))
+
+
 __all__ = ["QUERIES"]

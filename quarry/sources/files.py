@@ -177,7 +177,8 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     v = F.try_parse_json("value")
     either = lambda p: F.coalesce(F.try_variant_get(v, p, "array<string>"), F.array(F.try_variant_get(v, p, "string")))
     rows = spark.read.text(path).filter(F.trim("value") != "")
-    rows = rows.select(F.try_variant_get(v, "$.query", "string").alias("query"), either("$.expect_path_contains").alias("expect"), F.when(F.try_variant_get(v, "$.expect_scope", "variant").isNotNull(), either("$.expect_scope")).alias("scope"))
+    rows = rows.select(F.try_variant_get(v, "$.query", "string").alias("query"), either("$.expect_path_contains").alias("expect"), F.filter(either("$.expect_scope"), lambda s: s.isNotNull()).alias("scope"))
+    rows = rows.withColumn("scope", F.when(F.size("scope") > 0, F.col("scope")))
     return rows.filter(F.get("expect", F.lit(0)).isNotNull())
 
 
