@@ -20,7 +20,7 @@ from .functions import paths, vectors
 from .functions import text as T
 from .operators import chunking, diffs, models, packs, symbols
 from .operators.search import Engine
-from .plans import store
+from .plans import evaluate, store
 from .ship import ship
 from .sources import files as src
 from .streaming import reindex
@@ -273,20 +273,6 @@ def passage_vectors(spark, sf):
 PROMPT = "the thing with ering and than"
 
 
-@query(f"""WITH {PLAIN_SQL}, {HASHED_SQL}, norm AS (SELECT id, sqrt(sum(c * c)) AS s FROM cnt GROUP BY id),
-q AS (SELECT place, c / sqrt(sum(c * c) OVER ()) AS c FROM (SELECT ('0x' || left(md5(w), 8))::UBIGINT::BIGINT % 16 AS place, count(*)::DOUBLE AS c FROM (SELECT unnest(string_split('query {PROMPT}', ' ')) AS w) GROUP BY 1)),
-cs AS (SELECT cnt.id, sum((cnt.c / s)::FLOAT::DOUBLE * q.c::FLOAT::DOUBLE) AS cos FROM cnt JOIN norm ON norm.id = cnt.id JOIN q ON q.place = cnt.place GROUP BY cnt.id)
-SELECT id, round(cos, 3) AS cos FROM cs ORDER BY round(cos, 9) DESC, id LIMIT 2""")
-def auto_recall(spark, sf):
-    """The two nearest of a prompt, by the engine's own embedder and without reranking."""
-    rows = docs(spark, sf).select(
-        "id", F.lit("memory").alias("source_type"), F.lit(None).cast("string").alias("repo"), F.lit("text").alias("language"), F.lit("").alias("symbol"), F.concat(F.lit("d/"), "id").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
-        letters(F.col("text")).alias("text"), F.lit("").alias("file_sha"), F.lit(0.0).alias("mtime"),
-    )
-    engine = Engine(models.embed(rows, F.col("text"), None, 16), Settings(dim=16, hybrid=False))
-    return engine.recall(PROMPT, 0.0).select("id", "cos")
-
-
 @query("""SELECT 'doc/' || doc_id AS path, lang AS source_type, 1 AS n FROM documents WHERE doc_id % 10 <> 0 AND lang <> 'de' UNION ALL SELECT 'doc/' || doc_id, 'new', 2 FROM documents WHERE doc_id % 20 = 0
 UNION ALL SELECT 'page/' || page_id, 'de', 1 FROM pages""")
 def store_versions(spark, sf):
@@ -390,4 +376,57 @@ def followed_files(spark, sf):
     return known.read().select("source_type", T.file_name(F.col("path")).alias("name"), F.split("text", " ")[0].alias("word"))
 
 
+# ---- scopes and lints
+
+def spoken_chunks(spark, sf) -> DataFrame:
+    """Documents as notes of the type of their language, with vectors by the native embedder."""
+    rows = docs(spark, sf).select(
+        "id", F.coalesce("lang", F.lit("none")).alias("source_type"), F.col("source").alias("repo"), F.lit("text").alias("language"), F.lit("").alias("symbol"), F.concat(F.lit("d/"), "id").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+        letters(F.col("text")).alias("text"), F.lit("").alias("file_sha"), F.lit(0.0).alias("mtime"),
+    )
+    return models.embed(rows, F.col("text"), None, 16)
+
+
+def nearest_sql(where: str, top: int) -> str:
+    """Documents by the cosine of their hashed vectors with that of PROMPT."""
+    return f"""WITH {PLAIN_SQL}, {HASHED_SQL}, norm AS (SELECT id, sqrt(sum(c * c)) AS s FROM cnt GROUP BY id),
+q AS (SELECT place, c / sqrt(sum(c * c) OVER ()) AS c FROM (SELECT ('0x' || left(md5(w), 8))::UBIGINT::BIGINT % 16 AS place, count(*)::DOUBLE AS c FROM (SELECT unnest(string_split('query {PROMPT}', ' ')) AS w) GROUP BY 1)),
+cs AS (SELECT cnt.id, sum((cnt.c / s)::FLOAT::DOUBLE * coalesce(q.c, 0)::FLOAT::DOUBLE) AS cos FROM cnt JOIN norm ON norm.id = cnt.id LEFT JOIN q ON q.place = cnt.place GROUP BY cnt.id)
+SELECT row_number() OVER (ORDER BY round(cos, 9) DESC, id) AS rank, id, round(cos, 3) AS cos FROM cs WHERE id IN (SELECT doc_id FROM documents WHERE {where}) ORDER BY rank LIMIT {top}"""
+
+
+@query(f"SELECT id, cos FROM ({nearest_sql('true', 2)})")
+def auto_recall(spark, sf):
+    """The two nearest of a prompt, by the engine's own embedder and without reranking."""
+    engine = Engine(spoken_chunks(spark, sf), Settings(dim=16, hybrid=False))
+    return engine.recall(PROMPT, 0.0).select("id", "cos")
+
+
+@query(nearest_sql("lang IN ('de', 'fr')", 7))
+def knowledge_search(spark, sf):
+    """The knowledge tool: its own types, all repos, no reranking."""
+    engine = Engine(spoken_chunks(spark, sf), Settings(dim=16, hybrid=False, knowledge_scope=("de", "fr")))
+    return engine.knowledge(PROMPT, 7).select(F.col("rank").cast("long").alias("rank"), "id", "cos")
+
+
+@query(nearest_sql("source = 'src1'", 5))
+def scoped_by_folder(spark, sf):
+    """Without a scope, the repo that the folder lies in decides."""
+    engine = Engine(spoken_chunks(spark, sf), Settings(dim=16, hybrid=False, repos=("/w/src0", "/w/src1")))
+    return engine.search(PROMPT, 5, cwd="/w/src1/deep/er", rerank=False).select(F.col("rank").cast("long").alias("rank"), "id", "cos")
+
+
+@query("""WITH c AS (SELECT item_id, '/src' || item_id || '/' AS e, CASE item_id % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'memory' ELSE 'none' END AS scope FROM benchmark),
+stale AS (SELECT * FROM c WHERE 'src' || item_id NOT IN (SELECT source FROM documents WHERE source IS NOT NULL))
+SELECT scope AS name, count(*) AS n FROM stale WHERE NOT (scope = 'code' AND NOT contains(e, 'src1')) GROUP BY scope UNION ALL SELECT 'commands', count(*) FROM c WHERE item_id % 2 = 0""")
+def lint_counts(spark, sf):
+    """Stale labels to mend by scope, and cases that are commands."""
+    asked = F.when(F.col("id") % 4 == 0, "then run it").when(F.col("id") % 4 == 1, "what is x").when(F.col("id") % 4 == 2, "rerun all").otherwise("plain words")
+    scope = F.when(F.col("id") % 3 == 0, F.array(F.lit("code"))).when(F.col("id") % 3 == 1, F.array(F.lit("memory")))
+    cases = passages(spark, sf).select(F.col("id").alias("case_id"), asked.alias("query"), F.array(F.concat(F.lit("/src"), "id", F.lit("/"))).alias("expect"), scope.alias("scope"))
+    stale = evaluate.stale_labels(cases, docs(spark, sf).select(F.concat(F.lit("x/"), "source", F.lit("/y")).alias("path")))
+    mended = evaluate.fixable_by_scope(stale.withColumn("bucket", evaluate.bucket(F.col("scope"), F.col("expect"), ["src1"])))
+    return mended.select(F.col("scope").alias("name"), "n").unionByName(evaluate.imperative(cases).agg(F.count("*").alias("n")).select(F.lit("commands").alias("name"), "n"))
+
+
 __all__ = ["QUERIES"]
