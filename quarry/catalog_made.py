@@ -27,15 +27,15 @@ from .streaming import reindex
 
 #: A file of each language: @ stands for the document's number, § for its letters.
 FILES = {
-    "python": (".py", "import mod@ as m\nfrom pkg.sub import name@\n\ndef first_@(x):\n    # §\n    return second_@(x)\n\nclass Second_@:\n    def run(self):\n        # §\n        return first_@(helper(1))\n\nfirst_@(2)\n"),
-    "typescript": (".ts", "import { foo@, bar as baz } from './m@';\nexport function f_@() {\n  // §\n  return g_@(foo@(1));\n}\nclass C_@ {\n  run() { helper(); }   // §\n}\nexport const h_@ = () => f_@();\ninterface I_@ { a: string }\n"),
+    "python": (".py", "import mod@ as m\nfrom pkg.sub import name@\n\ndef first_@(x):\n    # §\n    return second_@(x)\n\nclass Second_@:\n    def run_@(self):\n        # §\n        return first_@(helper(1))\n\nfirst_@(2)\n"),
+    "typescript": (".ts", "import { foo@, bar as baz } from './m@';\nexport function f_@() {\n  // §\n  return g_@(foo@(1));\n}\nclass C_@ {\n  run_@() { helper(); }   // §\n}\nexport const h_@ = () => f_@();\ninterface I_@ { a: string }\n"),
     "shell": (".sh", "start_@() {\n  echo '§ and a long line'\n  stop_@ (1)\n}\nfunction stop_@() {\n  echo $(start_@)\n}\nstart_@()\n"),
     "markdown": (".md", "# no code in f_@()\n"),
 }
 #: What is in them: language, name, lines.
-DEFINED = [("python", "first_@", 4, 6), ("python", "Second_@", 8, 11), ("python", "run", 9, 11), ("typescript", "f_@", 2, 5), ("typescript", "C_@", 6, 8), ("typescript", "h_@", 9, 9), ("typescript", "I_@", 10, 11), ("shell", "start_@", 1, 4), ("shell", "stop_@", 5, 7)]
+DEFINED = [("python", "first_@", 4, 6), ("python", "Second_@", 8, 11), ("python", "run_@", 9, 11), ("typescript", "f_@", 2, 5), ("typescript", "C_@", 6, 8), ("typescript", "h_@", 9, 9), ("typescript", "I_@", 10, 11), ("shell", "start_@", 1, 4), ("shell", "stop_@", 5, 7)]
 CALLED = [
-    ("python", "first_@", "second_@", 6), ("python", "run", "first_@", 11), ("python", "run", "helper", 11), ("python", "<module>", "first_@", 13), ("typescript", "f_@", "g_@", 4), ("typescript", "f_@", "foo@", 4), ("typescript", "C_@", "run", 7),
+    ("python", "first_@", "second_@", 6), ("python", "run_@", "first_@", 11), ("python", "run_@", "helper", 11), ("python", "<module>", "first_@", 13), ("typescript", "f_@", "g_@", 4), ("typescript", "f_@", "foo@", 4), ("typescript", "C_@", "run_@", 7),
     ("typescript", "C_@", "helper", 7), ("typescript", "h_@", "f_@", 9), ("shell", "start_@", "start_@", 1), ("shell", "start_@", "stop_@", 3), ("shell", "stop_@", "stop_@", 5), ("shell", "<module>", "start_@", 8),
 ]
 IMPORTED = [("python", "mod@", "m"), ("python", "pkg.sub", "name@"), ("typescript", "./m@", "foo@"), ("typescript", "./m@", "bar"), ("typescript", "./m@", "baz")]
