@@ -245,7 +245,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in measure.calibrate(engine, a.dataset, a.top).orderBy("rrf_k", "weight").collect():
             print(f"rrf_k={r['rrf_k']} weight={r['weight']} overall={r['overall']:.3f} ({r['overall_pp']:+.1f}pp) code={r['code']:.3f} ({r['code_pp']:+.1f}pp){'  *' if r['star'] else ''}")
     elif a.command == "nightly":
-        return int(not measure.nightly(lambda: rebuilt(a.no_code), engine, a.dataset, a.baseline))
+        said: list[str] = []
+        good = measure.nightly(lambda: rebuilt(a.no_code), engine, a.dataset, a.baseline, lambda line: (print(line), said.append(line)))
+        measure.alert(os.environ.get("RAG_ALERT_WEBHOOK", ""), f"nightly rebuild: {'done' if good else 'failed'}", "\n".join(said), good)
+        return int(not good)
     elif a.command == "follow":
         folder = expand(a.folder)
         reindex.follow(spark, store, f"file://{folder}", f"file://{home}/follow", settings, engine.embed_factory).awaitTermination()

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.request
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -177,6 +178,21 @@ def floors(engine: Engine, dataset: str, top: int = 5) -> dict[str, tuple[float,
 
 # ---- nightly
 
+GOOD, BAD = 0x2ECC71, 0xE74C3C
+
+
+def alert(url: str, title: str, text: str, good: bool) -> bool:
+    """Posts a message to a webhook that takes embeds, if one is given; says whether it went through and never fails."""
+    if not url:
+        return False
+    body = json.dumps({"embeds": [{"title": title, "description": text, "color": GOOD if good else BAD}]}).encode()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=10) as answer:
+            return answer.status < 300
+    except (OSError, ValueError):
+        return False
+
+
 def nightly(rebuild: Callable[[], int], engine: Engine, dataset: str | None, baseline: str | None, say: Callable[[str], None] = print) -> bool:
     """Rebuilds and then holds the result against a baseline, if there is one. False if either fails."""
     try:

@@ -1,6 +1,8 @@
+import http.server
 import io
 import json
 import os
+import threading
 import time
 
 import pytest
@@ -251,3 +253,24 @@ def test_models_are_loaded_once():
 
 def loader():
     return object()
+
+
+def test_alerts_reach_a_webhook_and_never_fail():
+    got = []
+
+    class Hook(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(204)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert measure.alert(f"http://127.0.0.1:{server.server_port}/", "t", "a\nb", False) and got == [{"embeds": [{"title": "t", "description": "a\nb", "color": measure.BAD}]}]
+    finally:
+        server.shutdown()
+    assert not measure.alert("", "t", "", True) and not measure.alert("http://127.0.0.1:9/", "t", "", True) and not measure.alert("no address", "t", "", True)
