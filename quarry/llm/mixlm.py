@@ -7,13 +7,15 @@ hashed with the last word (or two bytes), and with the last two words (or four b
 of a set that is gated by how sure the predictors are; the sum is refined by terms that each text adapts as it is read (weights
 and, per gate, a bias), the bits before a segment teaching the segment (segments of FIRST bits, doubling up to SEGMENT). All
 training texts are counted, those that the weights are fitted on after the fit. The slots of the hashed contexts grow in proportion
-to the training tokens, coded and frequent words with the root of it. Counts are added by ranges of slots, those of many tasks in a
-tree of fixed fan-in; the tables are a file that workers map, so no process holds them whole.
+to the training tokens, coded and frequent words with the root of it. Counts are added by ranges of slots, sorted by range and read as
+a stream; a large table's texts are counted in ROUNDS parts, so that the counts of one part at a time lie on disk before they are added.
+The tables are a file that workers map, so no process holds them whole.
 """
 
 from __future__ import annotations
 
 import atexit
+import functools
 import heapq
 import math
 import os
@@ -21,6 +23,7 @@ import shutil
 import tempfile
 import uuid
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -36,12 +39,14 @@ from .shingles import folded, mix, word_spans
 
 #: Least of each: words with a code; words whose counts are broadcast (of at most WORD_BYTES each); slots of a hashed predictor.
 CODED, FREQUENT, WORD_BYTES, SLOT_BITS = 130_000, 1 << 18, 64, 20
-SLOTS, RANGE, FAN_IN = 1 << SLOT_BITS, 1 << 16, 32
+SLOTS, RANGE = 1 << SLOT_BITS, 1 << 16
 FIRST, SEGMENT, SLICE_BYTES, PRIOR = 128, 512, 1 << 18, 200.0
 #: Training tokens a slot, at most, up to MOST_BITS (slots and bits share 32 bits).
 TOKENS_A_SLOT, MOST_BITS = 32, 31
 #: Bits that a task gathers before it counts them; it counts in one array up to so many slots, else it sorts SORTED bits.
 HELD, DENSE_BITS, SORTED = 1 << 22, 22, 1 << 23
+#: Parts of the texts that are counted one after another where tasks sort; rows of counts that pass to Python at a time.
+ROUNDS, ROWS = 4, 256
 #: Least number of texts that the gated weights are fitted on; it grows with the root of the training texts. One in TUNING_SHARE at most.
 TUNING_TEXTS, TUNING_SHARE = 128, 64
 GATES, CODE_NODES = 32, 1 << 18
@@ -344,23 +349,54 @@ def _words(frames):
         yield out()
 
 
-def _apart(keys: np.ndarray, ranges: int):
-    """(range, places, counts) of keys slot * 2 + bit, range by range."""
+def _gaps(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places in bytes: each the steps from the one before (from -1 where a range begins), 255 being so many steps and no
+    place; and of each place the byte after its last."""
+    gap = np.diff(place, prepend=-1)
+    gap[first] = place[first] + 1
+    far = gap // 255
+    end = np.cumsum(far + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, 255, dtype=np.uint8)
+    out[end - 1] = gap - 255 * far
+    return out, end
+
+
+def _sorted_rows(keys: np.ndarray, base: int) -> pa.RecordBatch:
+    """Rows of the counts of keys slot * 2 + bit, range by range from base on."""
     keys.sort()
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    found, times = keys[edge], np.diff(np.append(edge, len(keys)))
-    place = (found >> np.uint32(1) & np.uint32(RANGE - 1)) + (found & np.uint32(1)) * np.uint32(RANGE)
-    cut = np.searchsorted(found // np.uint32(2 * RANGE), np.arange(ranges + 1))
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        yield k, place[cut[k] : cut[k + 1]], times[cut[k] : cut[k + 1]]
+    found, times = keys[edge].astype(np.int64), np.diff(np.append(edge, len(keys)))
+    of = found // (2 * RANGE)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    at, end = _gaps(found - of * (2 * RANGE), first)
+    cut = np.append(first, len(found))
+    large = np.flatnonzero(times >= 255)
+    more = [b""] * len(first)
+    many = np.searchsorted(large, cut)
+    for k in np.flatnonzero(np.diff(many)).tolist():
+        own = large[many[k] : many[k + 1]]
+        more[k] = _more(own - cut[k], times[own])
+    of_bytes = lambda cuts, data: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(of[first] + base, pa.int64()), of_bytes(np.concatenate(([0], end))[cut], at), of_bytes(cut, np.minimum(times, 255).astype(np.uint8)), pa.array(more, pa.binary())], COLUMNS)
+
+
+def _more(large: np.ndarray, n: np.ndarray) -> bytes:
+    return np.concatenate((large, np.minimum(n, 2**32 - 1))).astype("<u4").tobytes()
+
+
+def _row(k: int, n: np.ndarray) -> tuple:
+    """Range, places as _gaps has them (null: all), their counts in a byte each, and where these are too large: at which of them, then
+    the counts. n: of each place, slot * 2 + bit."""
+    some = np.flatnonzero(n)
+    at = None
+    if 2 * len(some) < len(n):
+        at, n = _gaps(some, some[:0])[0].tobytes(), n[some]
+    large = np.flatnonzero(n >= 255)
+    return k, at, np.minimum(n, 255).astype(np.uint8).tobytes(), _more(large, n[large])
 
 
-def _row(k: int, task: int, place, n: np.ndarray) -> tuple:
-    """Range, task, places (null: all), counts in a byte each, and where these are too large: at which of them, then the counts."""
-    n = n.reshape(-1)
-    large = np.flatnonzero(n >= 255)
-    more = np.concatenate((large, np.minimum(n[large], 2**32 - 1))).astype("<u4")
-    return k, task, None if place is None else place.astype("<u2" if len(place) and place.max() < 1 << 16 else "<u4").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), more.tobytes()
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], COLUMNS)
 
 
 def read_counts(at: bytes | None, n: bytes, more: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
@@ -368,7 +404,10 @@ def read_counts(at: bytes | None, n: bytes, more: bytes) -> tuple[np.ndarray | s
     counts = np.frombuffer(n, dtype=np.uint8).astype(np.int64)
     large, values = np.frombuffer(more, dtype="<u4").reshape(2, -1)
     counts[large] = values
-    return slice(None) if at is None else np.frombuffer(at, dtype=f"<u{len(at) // max(1, len(n))}") if n else slice(0, 0), counts
+    if at is None:
+        return slice(None), counts
+    steps = np.frombuffer(at, dtype=np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255] - 1, counts
 
 
 def _counts(sent):
@@ -378,14 +417,9 @@ def _counts(sent):
         bounds = [0, codes.nodes, codes.nodes + codes.slots, codes.nodes + 2 * codes.slots]
         n = np.zeros(2 * (bounds[3] if dense else codes.nodes), dtype=np.uint32)  # place * 2 + bit
         symbols = np.zeros(len(codes.length), dtype=np.int64)
-        task = TaskContext.get().partitionId()
         kept: list[tuple[np.ndarray, ...]] = []
         held = added = 0
 
-        def batch(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], COLUMNS)
-
         def add():
             for k in (1, 2):
                 keys = np.concatenate([x[k - 1] for x in kept])
@@ -393,16 +427,18 @@ def _counts(sent):
                     part = n[2 * bounds[k] : 2 * bounds[k + 1]]
                     np.add(part, np.bincount(keys, minlength=len(part)), out=part, casting="unsafe")
                 else:
-                    yield batch(_row(bounds[k] // RANGE + r, task, place, times) for r, place, times in _apart(keys, codes.slots // RANGE))
+                    yield _sorted_rows(keys, bounds[k] // RANGE)
 
         def told():
             # a symbol's bits are those of its code, so the plain nodes are counted from the symbols
-            n[: 2 * codes.nodes] = np.bincount(codes.flat, np.repeat(symbols, codes.length), 2 * codes.nodes)
+            some = np.flatnonzero(symbols)
+            length = codes.length[some]
+            steps = np.repeat(codes.offset[some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            n[: 2 * codes.nodes] = np.bincount(codes.flat[steps], np.repeat(symbols[some], length), 2 * codes.nodes)
             for low in range(0, len(n) // 2, RANGE):
-                part = n[2 * low : 2 * (low + RANGE)].reshape(-1, 2).T.copy()
+                part = n[2 * low : 2 * (low + RANGE)]
                 if part.any():
-                    some = np.flatnonzero(part)
-                    yield batch([_row(low // RANGE, task, *((some, part.reshape(-1)[some]) if 4 * len(some) < part.size else (None, part)))])
+                    yield _batch([_row(low // RANGE, part)])
 
         for _, texts in _slices(frames, []):
             s = Series(codes, texts)
@@ -423,32 +459,60 @@ def _counts(sent):
     return run
 
 
-COUNTED, COLUMNS = "range long, task long, at binary, n binary, more binary", ["range", "task", "at", "n", "more"]
-
+COUNTED, COLUMNS = "range long, at binary, n binary, more binary", ["range", "at", "n", "more"]
 
-def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    """One row of a range's rows: counts of places (value * RANGE + slot), or of all places if at is null."""
-    total = np.zeros(RANGE * 2, dtype=np.int64)
-    for row in zip(frame["at"], frame["n"], frame["more"], strict=True):
-        at, n = read_counts(*row)
-        total[at] += n
-    some = np.flatnonzero(total)
-    row = _row(frame["range"].iloc[0], frame["part"].iloc[0], *((some, total[some]) if 2 * len(some) < len(total) else (None, total)))
-    return pd.DataFrame([row], columns=COLUMNS)
 
-
-def sum_counts(parts: DataFrame, tasks: int) -> DataFrame:
+def _summed(frames):
+    """One row a range from rows that are sorted by range."""
+    now, total = None, np.zeros(RANGE * 2, dtype=np.int64)
+    for frame in frames:
+        done = []
+        for k, *row in zip(*(frame.column(c).to_pylist() for c in COLUMNS), strict=True):
+            if k != now:
+                if now is not None:
+                    done.append(_row(now, total))
+                now, total[:] = k, 0
+            at, n = read_counts(*row)
+            total[at] += n
+        if done:
+            yield _batch(done)
+    if now is not None:
+        yield _batch([_row(now, total)])
+
+
+@contextmanager
+def _for_once(spark, **conf: str):
+    """Settings of the session that hold inside."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """materialize; what it shuffled leaves the disks as soon as it is written, not when the driver happens to collect its garbage."""
+    with _for_once(df.sparkSession, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}):
+        return materialize(df, tag)
+
+
+def sum_counts(parts: DataFrame) -> DataFrame:
     """One row a range of slots."""
-    while True:
-        tasks = -(-tasks // FAN_IN)
-        parts = parts.withColumn("part", F.floor(F.col("task") / FAN_IN)).groupBy("range", "part").applyInPandas(_added, COUNTED)
-        if tasks <= 1:
-            return materialize(parts, "tables")
+    return settled(parts.repartition("range").sortWithinPartitions("range").mapInArrow(_summed, COUNTED), "tables")
 
 
-def count_ranges(train: DataFrame, sent) -> DataFrame:
-    """Counts of the three predictors from the texts of train, a row a range."""
-    return sum_counts(train.select("text").mapInArrow(_counts(sent), COUNTED), train.rdd.getNumPartitions())
+def count_ranges(train: DataFrame, sent, rounds: int = 1) -> DataFrame:
+    """Counts of the three predictors from the texts of train (doc_id, text), a row a range, of so many parts one after another."""
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(rounds))
+    parts = [sum_counts(train.filter(part == k).select("text").mapInArrow(_counts(sent), COUNTED)) for k in range(rounds)]
+    if rounds == 1:
+        return parts[0]
+    whole = sum_counts(functools.reduce(DataFrame.union, parts))
+    release(*parts)
+    return whole
 
 
 def _packed_ranges(frames):
@@ -458,7 +522,7 @@ def _packed_ranges(frames):
             n = np.zeros(RANGE * 2, dtype=np.int64)
             at, found = read_counts(*row)
             n[at] = found
-            out.append(packed(n[:RANGE], n[RANGE:]).astype("<i2").tobytes())
+            out.append(packed(n[::2], n[1::2]).astype("<i2").tobytes())
         yield pd.DataFrame({"range": frame["range"], "odds": out})
 
 
@@ -525,7 +589,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = F.crc32(F.col(id_col).cast("string")) % 5
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(left == 1, F.lit(False)).alias("held_out"), F.coalesce(left != 1, F.lit(False)).alias("train"))
     train = rows.filter("train")
-    counts = materialize(train.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = settled(train.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_end = (counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0]) or 0
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the least count of frequent words comes from a histogram of counts, so no task gathers candidates from all others
@@ -545,7 +609,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the weights are fitted on texts that the tables don't count yet; then the tables count these as well
     share = min(1 / TUNING_SHARE, max(TUNING_TEXTS, n_end**0.5) / max(1, n_end))
     tuning = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) < int(share * (1 << 40))
-    tuned, others = materialize(train.filter(tuning).select("doc_id", "text"), "tuning"), count_ranges(train.filter(~tuning), sent)
+    tuned, others = materialize(train.filter(tuning).select("doc_id", "text"), "tuning"), count_ranges(train.filter(~tuning), sent, 1 if slot_bits <= DENSE_BITS else ROUNDS)
     weights = np.tile(np.array([0.4, 0.4, 0.3, 0.0]), (GATES, 1))
     name = send_tables(others, codes)
     drawn = tuned.orderBy(F.xxhash64("doc_id"), "text").limit(int(2 * share * n_end) + 1).select("text")  # ids that repeat may draw many
@@ -555,7 +619,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         marks = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in inputs.column("gate")])
         weights = fit_weights(odds, (marks >> 1).astype(np.int8), (marks & 1).astype(bool))
         few = count_ranges(tuned, sent)
-        both = sum_counts(others.union(few), 1)
+        both = sum_counts(others.union(few))
         name = send_tables(both, codes)
         release(few, both)
     release(tuned, others)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -278,3 +279,35 @@ def test_weights_are_where_the_loss_is_least():
     for g in range(3):
         for _ in range(40):
             assert loss(g, found[g]) <= loss(g, found[g] + draw.normal(size=4) * 0.02) + 1e-6
+
+
+def test_sorted_counts_take_few_bytes():
+    """Rows of a large table hold the counts of their keys, in about a byte for the place and one for the count."""
+    draw = np.random.default_rng(6)
+    keys = np.concatenate((draw.integers(0, 1 << 27, 400_000), np.repeat(draw.integers(0, 1 << 27, 30), 300), np.full(70_000, (1 << 27) - 1), [0])).astype(np.uint32)
+    want = Counter(keys.tolist())
+    rows = mixlm._sorted_rows(keys, 5).to_pylist()
+    got = Counter()
+    for r in rows:
+        places, n = mixlm.read_counts(r["at"], r["n"], r["more"])
+        got.update({(r["range"] - 5) * 2 * mixlm.RANGE + p: c for p, c in zip(places.tolist(), n.tolist(), strict=True)})
+    assert got == want
+    assert sum(len(r["at"]) + len(r["n"]) + len(r["more"]) for r in rows) < 3.5 * len(want)  # far apart: 4 and more with whole places
+
+
+def test_counting_in_parts_leaves_no_shuffle_on_disk(spark, docs_of, monkeypatch):
+    """Large tables are counted a part of the texts at a time, none of which is most of them, and what was shuffled goes at once."""
+    draw = random.Random(3)
+    docs = docs_of([(i, " ".join(f"w{draw.randrange(500)}" for _ in range(60)), "", "") for i in range(400)])
+    sent = spark.sparkContext.broadcast(mixlm.Codes([b"w%d" % k for k in range(300)], [1] * 300, 5, 5, 23))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    total = lambda table: sum(int(mixlm.read_counts(r.at, r.n, r.more)[1].sum()) for r in table.collect())
+    sizes, add, before = [], mixlm.sum_counts, files()
+    monkeypatch.setattr(mixlm, "sum_counts", lambda parts: sizes.append(total(out := add(parts))) or out)
+    whole = mixlm.count_ranges(docs.select("doc_id", "text"), sent, mixlm.ROUNDS)
+    assert len(sizes) == mixlm.ROUNDS + 1 and max(sizes[:-1]) < sizes[-1] / 2 and sum(sizes[:-1]) == sizes[-1] == total(whole)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
