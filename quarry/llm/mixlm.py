@@ -6,7 +6,8 @@ probabilities is the text's. Three predictors give each bit's probability from c
 hashed with the last word (or two bytes), and with the last two words (or four bytes). Their log odds are summed with weights
 of a set that is gated by how sure the predictors are; the sum is refined by terms that each text adapts as it is read (weights
 and, per gate, a bias), the bits before a segment teaching the segment (segments of FIRST bits, doubling up to SEGMENT). All
-training texts are counted, those that the weights are fitted on after the fit. The slots of the hashed contexts grow in proportion
+training texts are counted, and the weights are fitted on all of them, each read with tables that don't count it: a first fit on
+some texts only saves steps, then Newton steps over both halves of the texts go on until they gain next to nothing. The slots of the hashed contexts grow in proportion
 to the training tokens, coded and frequent words with the root of it. Counts are added by ranges of slots, sorted by range and read as
 a stream; a large table's texts are counted in ROUNDS parts, so that the counts of one part at a time lie on disk before they are added.
 The tables are a file that workers map, so no process holds them whole.
@@ -47,8 +48,10 @@ TOKENS_A_SLOT, MOST_BITS = 32, 31
 HELD, DENSE_BITS, SORTED = 1 << 22, 22, 1 << 23
 #: Parts of the texts that are counted one after another where tasks sort; rows of counts that pass to Python at a time.
 ROUNDS, ROWS = 4, 256
-#: Least number of texts that the gated weights are fitted on; it grows with the root of the training texts. One in TUNING_SHARE at most.
+#: Least number of texts of the first fit of the weights; it grows with the root of the training texts. One in TUNING_SHARE at most.
 TUNING_TEXTS, TUNING_SHARE = 128, 64
+#: Newton steps over all training texts end when one gained less than GAIN of the loss, or after STEPS.
+GAIN, STEPS = 1e-3, 20
 GATES, CODE_NODES = 32, 1 << 18
 END = b"\n"
 
@@ -255,10 +258,13 @@ def _tuning_inputs(sent, name: str):
     return run
 
 
+PLAIN = np.array([0.4, 0.4, 0.3, 0.0])
+
+
 def fit_weights(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Gated weights of the predictors and a bias, by Newton's method per gate, drawn to a plain mean by PRIOR bits. odds: 3 x bits, in
     1/1024."""
-    plain = np.array([0.4, 0.4, 0.3, 0.0])
+    plain = PLAIN
     out = np.tile(plain, (GATES, 1))
     for g in range(GATES):
         on = np.flatnonzero(gate == g)
@@ -277,6 +283,67 @@ def fit_weights(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarr
     return out
 
 
+def newton_sums(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each gate: gradient (4) and curvature (16) of the bits' log likelihood at these weights, their loss in nats and number."""
+    out = np.zeros((GATES, 22))
+    order = np.argsort(gate, kind="stable")
+    edge = np.searchsorted(gate[order], np.arange(GATES + 1))
+    x, y = np.ones((4, len(gate)), dtype=np.float32), bit.take(order)
+    for k in range(3):
+        odds[k].take(order, out=x[k])
+    w = weights.astype(np.float32)
+    for g in np.flatnonzero(np.diff(edge)).tolist():
+        own, on = x[:, edge[g] : edge[g + 1]], y[edge[g] : edge[g + 1]]
+        z = w[g] @ own
+        np.negative(z, out=z, where=on)
+        np.exp(z.clip(-30, 30, out=z), out=z)  # odds of the other bit
+        lost = np.log1p(z).sum(dtype=np.float64)
+        z /= np.float32(1) + z
+        out[g, :4] = own @ np.where(on, z, -z)
+        out[g, 4:20] = ((own * (z * (np.float32(1) - z))) @ own.T).reshape(-1)
+        out[g, 20:] = lost, len(on)
+    return out
+
+
+def newton_step(weights: np.ndarray, sums: np.ndarray) -> float:
+    """Moves the weights by one step of Newton's method per gate, drawn to a plain mean as in fit_weights; the share of the loss that the
+    step promises."""
+    gain = 0.0
+    for g in np.flatnonzero(sums[:, 21]):
+        grad = sums[g, :4] - PRIOR / 4 * (weights[g] - PLAIN)
+        step = np.clip(np.linalg.solve(sums[g, 4:20].reshape(4, 4) + PRIOR / 4 * np.eye(4), grad), -0.5, 0.5)
+        weights[g] += step
+        gain += float(grad @ step) / 2
+    return gain / max(1e-9, float(sums[:, 20].sum()))
+
+
+def _fit_sums(sent, name: str, weights: np.ndarray):
+    """One row a task: newton_sums of its texts."""
+
+    def run(frames):
+        codes, tables = sent.value, mapped(name)
+        total = np.zeros((GATES, 22))
+        for _, texts in _slices(frames, []):
+            s = Series(codes, texts)
+            total += newton_sums(*_inputs(tables, s), weights)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+    return run
+
+
+def refine(weights: np.ndarray, halves: list[tuple[DataFrame, str]], sent) -> list[tuple[float, int]]:
+    """Newton steps over all texts of halves: (texts, name of the tables without them). Changes the weights; of each step the share of the
+    loss that it promised and the number of bits read."""
+    told = []
+    while len(told) < STEPS and (not told or told[-1][0] > GAIN):
+        sums = np.zeros((GATES, 22))
+        for texts, name in halves:
+            for row in texts.select("text").mapInArrow(_fit_sums(sent, name, weights.copy()), "sums binary").toArrow().column("sums"):
+                sums += np.frombuffer(row.as_py(), dtype="<f8").reshape(GATES, 22)
+        told.append((newton_step(weights, sums), int(sums[:, 21].sum())))
+    return told
+
+
 def bits_of(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], texts: int, weights: np.ndarray) -> np.ndarray:
     """Total bits of each text, read a segment at a time; each starts with the gated weights and no terms of its own.
 
@@ -606,23 +673,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     codes = Codes(words, found, total - n_end - sum(found[:coded_most]), n_end, slot_bits)
     del top, words, found
     sent = spark.sparkContext.broadcast(codes)
-    # the weights are fitted on texts that the tables don't count yet; then the tables count these as well
+    # a first fit on texts that the tables don't count yet; then steps over all, each half read with the tables of the other
     share = min(1 / TUNING_SHARE, max(TUNING_TEXTS, n_end**0.5) / max(1, n_end))
     tuning = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) < int(share * (1 << 40))
-    tuned, others = materialize(train.filter(tuning).select("doc_id", "text"), "tuning"), count_ranges(train.filter(~tuning), sent, 1 if slot_bits <= DENSE_BITS else ROUNDS)
-    weights = np.tile(np.array([0.4, 0.4, 0.3, 0.0]), (GATES, 1))
+    half = F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(2))
+    rounds = 1 if slot_bits <= DENSE_BITS else ROUNDS // 2
+    tuned = materialize(train.filter(tuning).select("doc_id", "text"), "tuning")
+    counted = [count_ranges(train.filter(~tuning & (half == k)), sent, rounds) for k in range(2)]
+    others = sum_counts(counted[0].union(counted[1]))
+    weights = np.tile(PLAIN, (GATES, 1))
     name = send_tables(others, codes)
     drawn = tuned.orderBy(F.xxhash64("doc_id"), "text").limit(int(2 * share * n_end) + 1).select("text")  # ids that repeat may draw many
     inputs = drawn.mapInArrow(_tuning_inputs(sent, name), "odds binary, gate binary").toArrow()
+    both = others
     if inputs.num_rows:
         odds = np.concatenate([np.frombuffer(x.as_py(), dtype="<i2").reshape(3, -1) for x in inputs.column("odds")], axis=1)
         marks = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in inputs.column("gate")])
         weights = fit_weights(odds, (marks >> 1).astype(np.int8), (marks & 1).astype(bool))
+        del inputs, odds, marks
         few = count_ranges(tuned, sent)
         both = sum_counts(others.union(few))
+        release(few)
+    if n_end:
+        apart = ((tuning | (half == 1), counted[0]), (~tuning & (half == 0), counted[1]))
+        refine(weights, [(train.filter(of), send_tables(without, codes)) for of, without in apart], sent)
+    if both is not others:
         name = send_tables(both, codes)
-        release(few, both)
-    release(tuned, others)
+    release(tuned, others, both, *counted)
     divisor = total + 0.5 * (kinds + 1)
     scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_scores(sent, name, weights.astype(np.float32), divisor, n_end), SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / divisor)).alias("more"), F.count("n").alias("also"))

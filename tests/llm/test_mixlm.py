@@ -311,3 +311,39 @@ def test_counting_in_parts_leaves_no_shuffle_on_disk(spark, docs_of, monkeypatch
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_weights_are_fitted_on_all_training_texts(spark, docs_of, monkeypatch):
+    """Every training text is read once, with tables that don't count it, and no small step from the weights lowers their loss."""
+    monkeypatch.setattr(mixlm, "TUNING_TEXTS", 4)
+    draw, seen = random.Random(8), []
+    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.7)) % 90}" for _ in range(draw.choice([0, 4, 60]))), "", "") for i in range(1200)]
+    real = mixlm.refine
+
+    def refine(weights, halves, sent):
+        first = weights.copy()
+        told = real(weights, halves, sent)
+        seen.append((first, weights, told, [(texts.collect(), mixlm.mapped(name).copy()) for texts, name in halves], sent.value))
+        return told
+
+    monkeypatch.setattr(mixlm, "refine", refine)
+    mixlm.score_texts(docs_of(rows)).count()
+    ((first, found, told, halves, codes),) = seen
+    assert sorted(r.doc_id for texts, _ in halves for r in texts) == [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    parts = [(mixlm.Series(codes, [mixlm.folded(r.text) for r in texts]), tables) for texts, tables in halves]
+    assert {n for _, n in told} == {sum(len(s.flat) for s, _ in parts)} and told[-1][0] <= mixlm.GAIN
+    inputs = [mixlm._inputs(tables, s) for s, tables in parts]
+
+    def loss(weights):
+        out = mixlm.PRIOR / 8 * np.sum((weights - [0.4, 0.4, 0.3, 0]) ** 2)
+        for odds, gate, bit in inputs:
+            z = (weights[gate, :3].T * odds).sum(axis=0) + weights[gate, 3]
+            out += np.log1p(np.exp(np.where(bit, -z, z))).sum()
+        return out
+
+    least = loss(found)
+    assert least < loss(first)
+    noise = np.random.default_rng(2)
+    assert all(loss(found + noise.normal(size=found.shape) * 0.05) > least for _ in range(20))
+    # the tables of a half hold the other half's texts: they differ, and neither is empty
+    assert (halves[0][1] != halves[1][1]).any() and all(tables.any() for _, tables in halves)
