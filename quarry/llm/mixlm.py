@@ -24,7 +24,7 @@ import shutil
 import tempfile
 import uuid
 from collections import Counter
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -452,14 +452,15 @@ def _more(large: np.ndarray, n: np.ndarray) -> bytes:
 
 
 def _row(k: int, n: np.ndarray) -> tuple:
-    """Range, places as _gaps has them (null: all), their counts in a byte each, and where these are too large: at which of them, then
-    the counts. n: of each place, slot * 2 + bit."""
+    """Range, places as _gaps has them (null: all), their counts in a byte each (compressed where all are there), and where these are too
+    large: at which of them, then the counts. n: of each place, slot * 2 + bit."""
     some = np.flatnonzero(n)
     at = None
-    if 2 * len(some) < len(n):
+    if 16 * len(some) < len(n):
         at, n = _gaps(some, some[:0])[0].tobytes(), n[some]
     large = np.flatnonzero(n >= 255)
-    return k, at, np.minimum(n, 255).astype(np.uint8).tobytes(), _more(large, n[large])
+    data = np.minimum(n, 255).astype(np.uint8).tobytes()
+    return k, at, data if at is not None else pa.compress(data, "zstd", asbytes=True), _more(large, n[large])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -468,6 +469,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_counts(at: bytes | None, n: bytes, more: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
     """Places and counts of such a row."""
+    if at is None:
+        n = pa.decompress(n, 2 * RANGE, "zstd")
     counts = np.frombuffer(n, dtype=np.uint8).astype(np.int64)
     large, values = np.frombuffer(more, dtype="<u4").reshape(2, -1)
     counts[large] = values
@@ -601,10 +604,28 @@ def send_tables(ranges: DataFrame, codes: Codes) -> str:
     for r in ranges.mapInPandas(_packed_ranges, "range long, odds binary").toLocalIterator():
         out[r["range"] * RANGE : (r["range"] + 1) * RANGE] = np.frombuffer(r["odds"], dtype="<i2")
     out.flush()
+    del out
     ranges.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    _sent[name] = folder
     return name
 
 
+def drop_tables(name: str) -> None:
+    """Tables that nothing reads any more leave the driver's disk; an executor that joins later fetches an empty file in their place."""
+    os.truncate(os.path.join(_sent.pop(name), name), 0)
+    drop_copy(name)
+
+
+def drop_copy(name: str) -> None:
+    """This process's executor (or driver) needs its copy of the tables no more."""
+    with suppress(FileNotFoundError):
+        os.remove(SparkFiles.get(name))
+
+
+#: Folder of each file of tables that the driver has sent.
+_sent: dict[str, str] = {}
+
+
 def mapped(name: str) -> np.ndarray:
     """The tables, read from the file where they are looked up."""
     return np.asarray(np.memmap(SparkFiles.get(name), dtype="<i2", mode="r"))
@@ -613,8 +634,10 @@ def mapped(name: str) -> np.ndarray:
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>"
 
 
-def _scores(sent, name: str, weights: np.ndarray, divisor: float, n_end: int):
+def _scores(sent, name: str, stale: list[str], weights: np.ndarray, divisor: float, n_end: int):
     def run(frames):
+        for old in stale:
+            drop_copy(old)
         codes, tables = sent.value, mapped(name)
         logs = np.log10(codes.counts + 0.5)
         row = TaskContext.get().partitionId() << 33
@@ -685,7 +708,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     name = send_tables(others, codes)
     drawn = tuned.orderBy(F.xxhash64("doc_id"), "text").limit(int(2 * share * n_end) + 1).select("text")  # ids that repeat may draw many
     inputs = drawn.mapInArrow(_tuning_inputs(sent, name), "odds binary, gate binary").toArrow()
-    both = others
+    both, stale = others, []
     if inputs.num_rows:
         odds = np.concatenate([np.frombuffer(x.as_py(), dtype="<i2").reshape(3, -1) for x in inputs.column("odds")], axis=1)
         marks = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in inputs.column("gate")])
@@ -696,12 +719,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         release(few)
     if n_end:
         apart = ((tuning | (half == 1), counted[0]), (~tuning & (half == 0), counted[1]))
-        refine(weights, [(train.filter(of), send_tables(without, codes)) for of, without in apart], sent)
+        halves = [(train.filter(of), send_tables(without, codes)) for of, without in apart]
+        refine(weights, halves, sent)
+        stale = [half_name for _, half_name in halves]
     if both is not others:
-        name = send_tables(both, codes)
+        stale.append(name)
+        name = None
+    for old in stale:
+        drop_tables(old)
+    name = name or send_tables(both, codes)
     release(tuned, others, both, *counted)
     divisor = total + 0.5 * (kinds + 1)
-    scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_scores(sent, name, weights.astype(np.float32), divisor, n_end), SCORED), "scored")
+    scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_scores(sent, name, stale, weights.astype(np.float32), divisor, n_end), SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / divisor)).alias("more"), F.count("n").alias("also"))
     out = scored.drop("rare").join(rare, "row", "left")
     return out.select(
