@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ def leading(scored: DataFrame, score: str, rank: str, limit: int) -> DataFrame:
     return best.select("id", F.row_number().over(Window.orderBy(F.desc("_s"), "id")).alias(rank))
 
 
+def everywhere(scored: DataFrame, score: str, rank: str) -> DataFrame:
+    """id and rank of all rows. They are sorted by ranges; a row's rank is its place in its range behind the rows of the ranges before."""
+    at = scored.select("id", F.round(score, 9).alias("_s")).orderBy(F.desc("_s"), "id").select("id", F.monotonically_increasing_id().alias("_at")).persist()
+    part, sizes = F.shiftright("_at", 33), {}
+    for r in at.groupBy(part.alias("part")).count().collect():  # a row a range
+        sizes[r["part"]] = r["count"]
+    before = [0, *accumulate(sizes.get(k, 0) for k in range(max(sizes, default=0) + 1))]
+    return at.select("id", (F.get(F.lit(before).cast("array<long>"), part.cast("int")) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(rank))
+
+
 def rrf(rank_cos: Column, rank_bm25: Column, settings: Settings) -> Column:
     one = lambda r, w: F.coalesce(F.lit(w) / (settings.rrf_k + r), F.lit(0.0))
     return one(rank_cos, 1.0) + one(rank_bm25, settings.bm25_weight)

@@ -93,14 +93,23 @@ def imperative(cases: DataFrame) -> DataFrame:
     return cases.filter(paths.is_command(F.col("query")))
 
 
+def grid() -> list[tuple[int, float]]:
+    """rrf_k and weight of each setting: one factor at a time."""
+    return [(k, 1.5) for k in RRF_KS] + [(60, w) for w in WEIGHTS if w != 1.5]
+
+
+def reach(top: int = 5) -> int:
+    """Rows behind so many in both rankings are in no setting's top: the top of the weightier ranking alone is ahead of them."""
+    return max(next(n for n in range(top, 10**6) if (1 + w) / (k + n + 1) < max(1.0, w) / (k + top) - 1e-9) for k, w in grid())
+
+
 def calibration(ranked: DataFrame, top: int = 5) -> DataFrame:
     """rrf_k, weight, hit5: shares of cases whose relevant row is in the top after fusion, for one factor at a time.
 
     ranked: case_id, id, rank_cos, rank_bm25, relevant and, if known, named (gets the symbol boost). The few settings are an array that
     each row is exploded by: one job.
     """
-    grid = [(k, 1.5) for k in RRF_KS] + [(60, w) for w in WEIGHTS if w != 1.5]
-    settings = F.explode(F.array(*[F.struct(F.lit(k).alias("rrf_k"), F.lit(w).alias("weight")) for k, w in grid]))
+    settings = F.explode(F.array(*[F.struct(F.lit(k).alias("rrf_k"), F.lit(w).alias("weight")) for k, w in grid()]))
     named = F.col("named") if "named" in ranked.columns else F.lit(False)
     each = ranked.withColumn("_s", settings).select("case_id", "id", "relevant", "_s.rrf_k", "_s.weight", "rank_cos", "rank_bm25", named.alias("named"))
     each = each.withColumn("score", F.round(F.when(F.col("named"), 1.0 / (F.col("rrf_k") + 1)).otherwise(0.0) + F.coalesce(1.0 / (F.col("rrf_k") + F.col("rank_cos")), F.lit(0.0)) + F.coalesce(F.col("weight") / (F.col("rrf_k") + F.col("rank_bm25")), F.lit(0.0)), 12))
