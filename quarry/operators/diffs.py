@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..ship import ship
+from ..ship import ship, small_batches
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
 CHANGES = "array<struct<path:string,old_start:int,new_start:int,added_lines:array<int>>>"
@@ -48,6 +48,7 @@ def parse(text: str | None, strict_compat: bool = False) -> list[tuple[str, int,
 def parsed(diffs: DataFrame, text: Column, strict_compat: bool = False) -> DataFrame:
     """diffs with a row for each changed file: file, old_start, new_start, added_lines."""
     ship(diffs.sparkSession)
+    small_batches(diffs.sparkSession)
     rows = diffs.select("*", F.explode(F.udf(lambda t: parse(t, strict_compat), CHANGES, useArrow=True)(text)).alias("_c"))
     return rows.select(*diffs.columns, F.col("_c.path").alias("file"), "_c.old_start", "_c.new_start", "_c.added_lines")
 

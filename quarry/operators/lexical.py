@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
-from ..ship import ship
+from ..ship import ship, small_batches
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings of a stored bucket, about.
@@ -121,6 +121,7 @@ def _count(kind: pa.DataType):
 def counted(chunks: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
     """id, length, terms, tfs: a row a text, of its distinct terms and how often each occurs."""
     ship(chunks.sparkSession)
+    small_batches(chunks.sparkSession)
     rows = chunks.select(F.col(id_col).alias("id"), (F.col("text") if text is None else text).alias("text"))
     kind = rows.schema["id"].dataType
     return rows.mapInArrow(_count(to_arrow_type(kind)), f"id {kind.simpleString()}, length long, terms array<string>, tfs array<long>")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CALLS, DEFINITIONS, IMPORTS
-from ..ship import ship
+from ..ship import ship, small_batches
 from .chunking import NAME, closing_line, line_of
 
 #: Fixed patterns of definitions, imports and calls.
@@ -108,6 +108,7 @@ def of_text(text: str | None, language: str | None):
 def extracted(files: DataFrame, text: Column, language: Column) -> DataFrame:
     """files with found: defs, calls and imports."""
     ship(files.sparkSession)
+    small_batches(files.sparkSession)
     return files.withColumn("found", F.udf(of_text, FOUND, useArrow=True)(text, language))
 
 
