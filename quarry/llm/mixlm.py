@@ -34,7 +34,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import ship, small_batches
 from .common import materialize, release
 from .shingles import folded, mix, word_spans
 
@@ -249,7 +249,7 @@ def _tuning_inputs(sent, name: str):
     """Of each bit of the texts: log odds of the three predictors, and gate * 2 + bit."""
 
     def run(frames):
-        codes, tables = sent.value, mapped(name)
+        codes, tables = sent.value, mapped(name) if name else None
         for _, texts in _slices(frames, []):
             s = Series(codes, texts)
             odds, gate, bit = _inputs(tables, s)
@@ -321,7 +321,7 @@ def _fit_sums(sent, name: str, weights: np.ndarray):
     """One row a task: newton_sums of its texts."""
 
     def run(frames):
-        codes, tables = sent.value, mapped(name)
+        codes, tables = sent.value, mapped(name) if name else None
         total = np.zeros((GATES, 22))
         for _, texts in _slices(frames, []):
             s = Series(codes, texts)
@@ -634,19 +634,21 @@ def mapped(name: str) -> np.ndarray:
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>"
 
 
-def _scores(sent, name: str, stale: list[str], weights: np.ndarray, divisor: float, n_end: int):
+def _scores(sent, name: str | None, stale: list[str], weights: np.ndarray | None, divisor: float, n_end: int):
     def run(frames):
         for old in stale:
             drop_copy(old)
-        codes, tables = sent.value, mapped(name)
+        codes, tables = sent.value, mapped(name) if name else None
         logs = np.log10(codes.counts + 0.5)
         row = TaskContext.get().partitionId() << 33
         # texts of like length are read together, so that few segments are read alone
         alike = (frame.take(pc.sort_indices(pc.fill_null(pc.binary_length(frame.column("text")), 0))) for frame in frames)
         for (ids, held), texts in _slices(alike, ["doc_id", "held_out"]):
             s = Series(codes, texts)
-            order, steps = by_segments(s.start, s.bits)
-            bits = bits_of(*_inputs(tables, s, order), steps, len(texts), weights)
+            bits = np.zeros(len(texts))
+            if name:
+                order, steps = by_segments(s.start, s.bits)
+                bits = bits_of(*_inputs(tables, s, order), steps, len(texts), weights)
             owner = np.repeat(np.arange(len(texts)), s.n_words)
             common = s.rank >= 0
             base = np.bincount(owner[common], weights=logs[s.rank[common]], minlength=len(texts)) + math.log10(n_end + 0.5)
@@ -666,36 +668,9 @@ def _scores(sent, name: str, stale: list[str], weights: np.ndarray, divisor: flo
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte.
-
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 1; held_out is that remainder being 1. A null doc_id teaches nothing
-    and isn't held out. A null text counts as empty: one token, the end. A very long text is read whole, by itself. Words of equal
-    count are coded in the order of their bytes. Without training rows all counts are 0. Rows that repeat a doc_id are scored each. An
-    empty table gives no rows. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    left = F.crc32(F.col(id_col).cast("string")) % 5
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(left == 1, F.lit(False)).alias("held_out"), F.coalesce(left != 1, F.lit(False)).alias("train"))
-    train = rows.filter("train")
-    counts = settled(train.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n_end = (counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0]) or 0
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the least count of frequent words comes from a histogram of counts, so no task gathers candidates from all others
-    coded = counts.filter((F.col("word") != F.lit(END)) & (F.octet_length("word") <= WORD_BYTES)).withColumn("size", F.floor(F.log2("n") * 16))
-    slot_bits = min(MOST_BITS, max(SLOT_BITS, int(total // TOKENS_A_SLOT).bit_length()))
-    coded_most = coded_words(slot_bits)
-    least, room = None, FREQUENT * coded_most // CODED
-    for r in sorted(coded.groupBy("size").agg(F.count("*").alias("words")).collect(), reverse=True):
-        if r["words"] > room:
-            break
-        least, room = r["size"], room - r["words"]
-    top = coded.filter(F.col("size") >= least if least is not None else F.lit(False)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    words, found = top.column("word").to_pylist(), top.column("n").to_pylist()
-    codes = Codes(words, found, total - n_end - sum(found[:coded_most]), n_end, slot_bits)
-    del top, words, found
-    sent = spark.sparkContext.broadcast(codes)
+def _fitted(train: DataFrame, sent, codes: Codes, n_end: int) -> tuple[np.ndarray, str, list[str]]:
+    """Weights, name of the tables of all training texts, and names of tables that nothing reads any more."""
+    slot_bits = codes.slot_bits
     # a first fit on texts that the tables don't count yet; then steps over all, each half read with the tables of the other
     share = min(1 / TUNING_SHARE, max(TUNING_TEXTS, n_end**0.5) / max(1, n_end))
     tuning = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) < int(share * (1 << 40))
@@ -729,11 +704,46 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         drop_tables(old)
     name = name or send_tables(both, codes)
     release(tuned, others, both, *counted)
+    return weights.astype(np.float32), name, stale
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mixed: bool = True) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte.
+
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 1; held_out is that remainder being 1. A null doc_id teaches nothing
+    and isn't held out. A null text counts as empty: one token, the end. A very long text is read whole, by itself. Words of equal
+    count are coded in the order of their bytes. Without training rows all counts are 0. Rows that repeat a doc_id are scored each. An
+    empty table gives no rows. Other columns are ignored. Without mixed the last two columns, which alone need the tables, are left out.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    if not mixed:
+        small_batches(spark)
+    left = F.crc32(F.col(id_col).cast("string")) % 5
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(left == 1, F.lit(False)).alias("held_out"), F.coalesce(left != 1, F.lit(False)).alias("train"))
+    train = rows.filter("train")
+    counts = settled(train.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_end = (counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0]) or 0
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # the least count of frequent words comes from a histogram of counts, so no task gathers candidates from all others
+    coded = counts.filter((F.col("word") != F.lit(END)) & (F.octet_length("word") <= WORD_BYTES)).withColumn("size", F.floor(F.log2("n") * 16))
+    slot_bits = min(MOST_BITS, max(SLOT_BITS, int(total // TOKENS_A_SLOT).bit_length()))
+    coded_most = coded_words(slot_bits)
+    least, room = None, FREQUENT * coded_most // CODED
+    for r in sorted(coded.groupBy("size").agg(F.count("*").alias("words")).collect(), reverse=True):
+        if r["words"] > room:
+            break
+        least, room = r["size"], room - r["words"]
+    top = coded.filter(F.col("size") >= least if least is not None else F.lit(False)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words, found = top.column("word").to_pylist(), top.column("n").to_pylist()
+    codes = Codes(words, found, total - n_end - sum(found[:coded_most]), n_end, slot_bits)
+    del top, words, found
+    sent = spark.sparkContext.broadcast(codes)
+    weights, name, stale = _fitted(train, sent, codes, n_end) if mixed else (None, None, [])
     divisor = total + 0.5 * (kinds + 1)
-    scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_scores(sent, name, stale, weights.astype(np.float32), divisor, n_end), SCORED), "scored")
+    scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_scores(sent, name, stale, weights, divisor, n_end), SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / divisor)).alias("more"), F.count("n").alias("also"))
     out = scored.drop("rare").join(rare, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
-    )
+    base = ["doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score")]
+    mix_score = [(-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")]
+    return out.select(*base, *(mix_score if mixed else []))
