@@ -16,6 +16,7 @@ The tables are a file that workers map, so no process holds them whole.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import heapq
 import math
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship, small_batches
 from .common import materialize, release
-from .shingles import folded, mix, word_spans
+from .shingles import IN_WORD, folded, mix, word_spans
 
 #: Least of each: words with a code; words whose counts are broadcast (of at most WORD_BYTES each); slots of a hashed predictor.
 CODED, FREQUENT, WORD_BYTES, SLOT_BITS = 130_000, 1 << 18, 64, 20
@@ -53,6 +54,10 @@ TUNING_TEXTS, TUNING_SHARE = 128, 64
 #: Newton steps over all training texts end when one gained less than GAIN of the loss, or after STEPS.
 GAIN, STEPS = 1e-3, 20
 GATES, CODE_NODES = 32, 1 << 18
+#: Slices whose words are counted together, few enough for a small table; rows of such counts that a task adds up before it gives them on.
+COUNTED_SLICES, COUNTED_WORDS = 8, 1_000_000
+#: Bits that are looked up at a time, few enough for a processor's cache; bytes of freed memory that a worker keeps.
+BLOCK, KEPT = 1 << 16, 1 << 26
 END = b"\n"
 
 
@@ -107,8 +112,22 @@ class Codes:
         self.offset = np.cumsum(self.length) - self.length
         flat = np.concatenate(flat)
         spread = mix((flat >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) & np.uint64(self.slots - 1)
-        #: Of each bit of each code: node * 2 + value, and the hash of its node * 2 + value.
-        self.flat, self.mark = flat.astype(np.uint32), (spread << np.uint64(1) | flat & np.uint64(1)).astype(np.uint32)
+        #: Of each bit of each code, so that one look finds both: flat, and mark above it.
+        spread <<= np.uint64(1)
+        spread |= flat & np.uint64(1)
+        spread <<= np.uint64(32)
+        spread |= flat
+        self.steps = spread
+
+    @property
+    def flat(self) -> np.ndarray:
+        """Of each bit of each code: node * 2 + value."""
+        return self.steps.astype(np.uint32)
+
+    @property
+    def mark(self) -> np.ndarray:
+        """Of each bit of each code: the hash of its node * 2 + value."""
+        return (self.steps >> np.uint64(32)).astype(np.uint32)
 
 
 def coded_words(slot_bits: int) -> int:
@@ -193,10 +212,13 @@ class Series:
         stop = np.cumsum(length, dtype=np.int64)
         at_step = np.repeat(codes.offset[sym] - (stop - length), length)
         at_step += np.arange(len(at_step))
-        mark = codes.mark.take(at_step)
+        found = codes.steps.take(at_step, mode="wrap")
+        flat = found.astype(np.uint32)
+        found >>= np.uint64(32)
+        mark = found.astype(np.uint32)
         keys = [np.repeat((h >> np.uint64(64 - codes.slot_bits)).astype(np.uint32) << np.uint32(1), length) for h in (one, two)]
         #: Of each bit: node * 2 + value, and slot * 2 + value of the hashed contexts.
-        self.flat, self.key1, self.key2 = codes.flat.take(at_step), np.bitwise_xor(keys[0], mark, out=keys[0]), np.bitwise_xor(keys[1], mark, out=keys[1])
+        self.flat, self.key1, self.key2 = flat, np.bitwise_xor(keys[0], mark, out=keys[0]), np.bitwise_xor(keys[1], mark, out=keys[1])
         self.sym, self.nodes, self.slots = sym, codes.nodes, codes.slots
         self.spelled = codes.n + 1  # the first node of the tree of bytes
         starts = at[ends - tokens]
@@ -234,14 +256,18 @@ def by_segments(start: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, list[t
 
 def _inputs(tables: np.ndarray, s: Series, order: np.ndarray | None = None):
     """Log odds of the three predictors (3 x bits), the gate and the value of each bit, in the order of the text or another."""
-    flat, key1, key2 = (x if order is None else x.take(order) for x in (s.flat, s.key1, s.key2))
-    node, bit = flat >> np.uint32(1), (flat & np.uint32(1)).astype(bool)
-    v1, v2 = tables[s.nodes : s.nodes + s.slots].take(key1 >> np.uint32(1)), tables[s.nodes + s.slots :].take(key2 >> np.uint32(1))
-    odds = np.empty((3, len(v1)), dtype=np.float32)
-    for k, v in enumerate((tables.take(node), v1, v2)):
-        np.multiply(v, np.float32(1 / 1024), out=odds[k], casting="unsafe")
-    gate = ((v1 & 3) * 4 + (v2 & 3)).astype(np.int8)
-    gate[node >= s.spelled] += 16
+    n = len(s.flat) if order is None else len(order)
+    odds, gate, bit = np.empty((3, n), dtype=np.float32), np.empty(n, dtype=np.int8), np.empty(n, dtype=bool)
+    places = [tables[: s.nodes], tables[s.nodes : s.nodes + s.slots], tables[s.nodes + s.slots :]]
+    for a in range(0, n, BLOCK):
+        on = slice(a, a + BLOCK)
+        flat, *keys = (x[on] if order is None else x.take(order[on], mode="wrap") for x in (s.flat, s.key1, s.key2))
+        # every place is in its table; with mode wrap, take has no more to do than to look it up
+        found = [table.take((key >> np.uint32(1)).astype(np.intp), mode="wrap") for table, key in zip(places, (flat, *keys), strict=True)]
+        for k, v in enumerate(found):
+            np.multiply(v, np.float32(1 / 1024), out=odds[k, on], casting="unsafe")
+        gate[on] = (found[1] & 3) * 4 + (found[2] & 3) + (flat >= np.uint32(2 * s.spelled)).view(np.int8) * np.int8(16)
+        bit[on] = flat & np.uint32(1)
     return odds, gate, bit
 
 
@@ -287,21 +313,24 @@ def newton_sums(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, weights: np
     """Of each gate: gradient (4) and curvature (16) of the bits' log likelihood at these weights, their loss in nats and number."""
     out = np.zeros((GATES, 22))
     order = np.argsort(gate, kind="stable")
-    edge = np.searchsorted(gate[order], np.arange(GATES + 1))
-    x, y = np.ones((4, len(gate)), dtype=np.float32), bit.take(order)
+    edge = np.concatenate(([0], np.cumsum(np.bincount(gate, minlength=GATES))))
+    x, other = np.ones((4, len(gate)), dtype=np.float32), (np.float32(1) - np.float32(2) * bit).take(order, mode="wrap")  # -1 where the bit is set
     for k in range(3):
-        odds[k].take(order, out=x[k])
+        odds[k].take(order, out=x[k], mode="wrap")
     w = weights.astype(np.float32)
     for g in np.flatnonzero(np.diff(edge)).tolist():
-        own, on = x[:, edge[g] : edge[g + 1]], y[edge[g] : edge[g + 1]]
+        own, sign = x[:, edge[g] : edge[g + 1]], other[edge[g] : edge[g + 1]]
         z = w[g] @ own
-        np.negative(z, out=z, where=on)
+        z *= sign
         np.exp(z.clip(-30, 30, out=z), out=z)  # odds of the other bit
-        lost = np.log1p(z).sum(dtype=np.float64)
-        z /= np.float32(1) + z
-        out[g, :4] = own @ np.where(on, z, -z)
-        out[g, 4:20] = ((own * (z * (np.float32(1) - z))) @ own.T).reshape(-1)
-        out[g, 20:] = lost, len(on)
+        both = np.float32(1) + z
+        z /= both
+        lost = np.log(both, out=both).sum(dtype=np.float64)
+        np.multiply(z, np.float32(1) - z, out=both)
+        z *= sign
+        out[g, :4] = -(own @ z)
+        out[g, 4:20] = ((own * both) @ own.T).reshape(-1)
+        out[g, 20:] = lost, len(sign)
     return out
 
 
@@ -351,21 +380,25 @@ def bits_of(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: list[tup
     short segments cost no more than long ones.
     """
     w = np.ascontiguousarray(weights.T, dtype=np.float32)
-    base = w[3].take(gate)
-    for k in range(3):
-        base += w[k].take(gate) * odds[k]
-    sign = np.where(bit, np.float32(1), np.float32(-1))
     own, seen = np.zeros((3, texts), dtype=np.float32), np.full((3, texts), PRIOR, dtype=np.float32)
     bias, met = np.zeros(texts * GATES, dtype=np.float32), np.full(texts * GATES, PRIOR)
     out, a = np.zeros(texts), 0
     for turn, (on, long) in enumerate(steps):
         b = a + int(long.sum())
         first = np.cumsum(long) - long
-        x, s, z, g = odds[:, a:b], sign[a:b], base[a:b], gate[a:b] + np.repeat(on * GATES, long)
+        x, g, text = odds[:, a:b], gate[a:b].astype(np.intp), np.repeat(on, long)
+        s = np.float32(2) * bit[a:b] - np.float32(1)
+        z = w[3].take(g, mode="wrap")
+        for k in range(3):
+            u = w[k].take(g, mode="wrap")
+            if turn:
+                u += own[k].take(text, mode="wrap")
+            u *= x[k]
+            z += u
+        text *= GATES
+        g += text
         if turn:
-            for k in range(3):
-                z += np.repeat(own[k, on], long) * x[k]
-            z += bias.take(g)
+            z += bias.take(g, mode="wrap")
         z *= s
         np.exp(z.clip(-15, 30, out=z), out=z)
         z += np.float32(1)
@@ -376,16 +409,29 @@ def bits_of(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: list[tup
             right *= wrong
             wrong *= s
             for k in range(3):
-                seen[k, on] += np.add.reduceat(np.square(x[k]) * right, first)
-                own[k, on] += np.add.reduceat(x[k] * wrong, first) / seen[k, on]
+                np.multiply(x[k], right, out=u)
+                u *= x[k]
+                seen[k, on] += np.add.reduceat(u, first)
+                own[k, on] += np.add.reduceat(np.multiply(x[k], wrong, out=u), first) / seen[k, on]
             met += np.bincount(g, right, len(met))
             bias += np.bincount(g, wrong, len(met)) / met
         a = b
     return out / math.log(2)
 
 
+@functools.cache
+def keep_freed() -> None:
+    """This process takes its next arrays from memory that it has freed, up to KEPT bytes, rather than fresh pages from the system each
+    time, where its C library can be told so."""
+    with suppress(OSError, AttributeError):
+        told = ctypes.CDLL(None).mallopt
+        told(-3, 1 << 25)  # M_MMAP_THRESHOLD, the most it takes
+        told(-1, KEPT)  # M_TRIM_THRESHOLD
+
+
 def _slices(frames, columns: list[str]):
     """(columns as lists, folded texts) with about SLICE_BYTES of text together."""
+    keep_freed()
     for frame in frames:
         values = [frame.column(c).to_pylist() for c in columns]
         texts = frame.column("text")
@@ -398,22 +444,42 @@ def _slices(frames, columns: list[str]):
                 low, part, size = k + 1, [], 0
 
 
+def _word_array(texts: list[bytes]) -> pa.Array:
+    """All words of the texts in turn, made from their bytes without an object a word."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    inside = IN_WORD.take(buf)
+    last = np.flatnonzero(inside[1:] < inside[:-1])
+    ends = np.concatenate(([0], np.cumsum(inside, dtype=np.int32).take(last))).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(ends), pa.py_buffer(buf[inside])])
+
+
 def _words(frames):
     """Counts of words, and of the end under its own name (no word has a line break in it)."""
-    found = Counter()
+    held, counted, ends = [], [], 0
+
+    def count():
+        found = pa.chunked_array(held, pa.binary()).value_counts()
+        counted.append(pa.table([found.field(0), found.field(1)], ["word", "n"]))
+        held.clear()
 
     def out():
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+        ended = pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
+        sums = pa.concat_tables([*counted, ended]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        counted.clear()
+        return sums.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     for _, texts in _slices(frames, []):
-        for t in texts:
-            found.update(t.split())
-        found[END] += len(texts)
-        if len(found) > 300_000:
-            yield out()
-            found.clear()
-    if found:
-        yield out()
+        held.append(_word_array(texts))
+        ends += len(texts)
+        if len(held) == COUNTED_SLICES:
+            count()
+            if sum(t.num_rows for t in counted) > COUNTED_WORDS:
+                yield from out()
+                ends = 0
+    if held:
+        count()
+    if ends:
+        yield from out()
 
 
 def _gaps(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,9 +520,9 @@ def _more(large: np.ndarray, n: np.ndarray) -> bytes:
 def _row(k: int, n: np.ndarray) -> tuple:
     """Range, places as _gaps has them (null: all), their counts in a byte each (compressed where all are there), and where these are too
     large: at which of them, then the counts. n: of each place, slot * 2 + bit."""
-    some = np.flatnonzero(n)
     at = None
-    if 16 * len(some) < len(n):
+    if 16 * np.count_nonzero(n) < len(n):
+        some = np.flatnonzero(n)
         at, n = _gaps(some, some[:0])[0].tobytes(), n[some]
     large = np.flatnonzero(n >= 255)
     data = np.minimum(n, 255).astype(np.uint8).tobytes()
@@ -488,23 +554,23 @@ def _counts(sent):
         n = np.zeros(2 * (bounds[3] if dense else codes.nodes), dtype=np.uint32)  # place * 2 + bit
         symbols = np.zeros(len(codes.length), dtype=np.int64)
         kept: list[tuple[np.ndarray, ...]] = []
-        held = added = 0
+        held, added, one = 0, 0, np.uint32(1)
 
         def add():
             for k in (1, 2):
                 keys = np.concatenate([x[k - 1] for x in kept])
                 if dense:
-                    part = n[2 * bounds[k] : 2 * bounds[k + 1]]
-                    np.add(part, np.bincount(keys, minlength=len(part)), out=part, casting="unsafe")
+                    keys.sort()  # sorting costs less than what it spares: places far apart are not in the processor's cache
+                    np.add.at(n[2 * bounds[k] : 2 * bounds[k + 1]], keys, one)
                 else:
                     yield _sorted_rows(keys, bounds[k] // RANGE)
 
         def told():
             # a symbol's bits are those of its code, so the plain nodes are counted from the symbols
-            some = np.flatnonzero(symbols)
-            length = codes.length[some]
-            steps = np.repeat(codes.offset[some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            n[: 2 * codes.nodes] = np.bincount(codes.flat[steps], np.repeat(symbols[some], length), 2 * codes.nodes)
+            some, depth = np.flatnonzero(symbols), 0
+            while len(some := some[codes.length[some] > depth]):
+                np.add.at(n, codes.steps[codes.offset[some] + depth].astype(np.uint32), symbols[some].astype(np.uint32))
+                depth += 1
             for low in range(0, len(n) // 2, RANGE):
                 part = n[2 * low : 2 * (low + RANGE)]
                 if part.any():

@@ -18,6 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+WORD_BYTE = np.where(IN_WORD, BYTE, np.uint64(0))
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PLACE = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _powers = np.ones(1, dtype=np.uint64)
@@ -40,17 +41,21 @@ def folded(text: str | None) -> bytes:
 def word_spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of all parts in order: the bytes they lie in, their starts there, lengths and hashes; and each part's number."""
     buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
-    inside = IN_WORD[buf]
-    edge = np.diff(inside.view(np.int8), prepend=0)
-    starts, at = np.flatnonzero(edge == 1), np.flatnonzero(inside)
+    inside = IN_WORD.take(buf)
+    starts = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    if inside[0]:
+        starts = np.concatenate(([0], starts))
     limits = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.searchsorted(starts, limits), prepend=0)
     if not len(starts):
         return buf, starts, starts, np.empty(0, dtype=np.uint64), counts
-    lengths = np.flatnonzero(edge == -1) - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    sums = np.add.reduceat(BYTE[buf[at]] * powers(int(lengths.max()))[place], first)
+    lengths = np.flatnonzero(inside[1:] < inside[:-1]) + 1 - starts
+    # spaces add nothing, so each sum goes on to the next word; a place beyond the longest word is a space's
+    place = np.arange(len(buf) - starts[0])
+    place -= np.repeat(starts - starts[0], np.diff(starts, append=len(buf)))
+    sums = powers(int(lengths.max())).take(place, mode="clip")
+    sums *= WORD_BYTE.take(buf[starts[0] :])
+    sums = np.add.reduceat(sums, starts - starts[0])
     return buf, starts, lengths, mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), counts
 
 
